@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import components, lookalike
+from papyrion.llm import components, langid, lookalike
 from papyrion.sources.tables import table
 from papyrion.stable import settle
 
@@ -22,5 +22,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.groups(table(spark, d, "wl_synonym"), "sourcewordid", "targetwordid")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found)}
+LANGUAGES = ["de", "en", "es", "fi", "fr", "it", "nl", "pt", "ru", "sv"]
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return langid.stretches(documents, langid.learn(documents, LANGUAGES))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrong_labels(_stretches(spark, d))
+
+
+def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(spark, d).select("doc_id", "lang", "first_cue", "last_cue", F.round("confidence", 4).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p9_found, p9_stretches)}
 SQL: dict[str, str] = {}
