@@ -71,7 +71,7 @@ class Passages:
                 where[f" {' '.join(words[i : i + SEED])} "].append((item, i))
         self.automaton = ahocorasick.Automaton()
         for run, places in where.items():
-            self.automaton.add_word(run, (run.count(" ") - 1, places))
+            self.automaton.add_word(run, places)
         if where:
             self.automaton.make_automaton()
         self.empty = not where
@@ -103,67 +103,60 @@ def _alike(a: str, b: str) -> bool:
     return a == b or _distance(a, b, most) <= most
 
 
-def align(passage: list[str], text: list[str]) -> tuple[int, int, int, int]:
+def align(passage: list[str], text: list[str], starts: list[tuple[int, int]]) -> tuple[int, int, int, int]:
     """(words, spoiled, first and last word in `text`) of the longest stretch of `passage` in `text`.
 
-    Each passage word stands for one word, two words (broken in two) or shares one with the next (run
-    together); not being equal makes it spoiled. In any stretch that counts at most one word in six is.
+    `starts` are places (in passage, in text) of SEED equal words; each is followed both ways as far
+    as the passage goes on. A passage word stands for one word, several (broken up) or shares one with
+    its neighbour (run together); where it is not equal it is spoiled. In any stretch that counts
+    at most one word in six is.
     """
-    exact = defaultdict(list)
-    for j, w in enumerate(text):
-        exact[w].append(j)
-    best = (0, 0, 0, 0)
-    tried = set()
-    for i0, word in enumerate(passage):
-        for j0 in exact.get(word, ()):
-            if (i0, j0) in tried:
-                continue
-            # From this pair of equal words on, as far as the passage is followed.
-            path, i, j = [(0, j0, j0)], i0 + 1, j0 + 1
-            tried.add((i0, j0))
-            while i < len(passage) and j < len(text):
-                if passage[i] == text[j]:
-                    tried.add((i, j))
-                    path.append((0, j, j))
-                    i, j = i + 1, j + 1
-                elif step := _spoiled_step(passage, text, i, j):
-                    used, taken = step
-                    path += [(1, j, j + taken - 1)] * used
-                    i, j = i + used, j + taken
-                else:
-                    break
-            # and words before it that are spoiled
-            i, j, before = i0 - 1, j0 - 1, []
-            while i >= 0 and j >= 0 and len(before) < len(path) // 5 + 1:
-                if _alike(text[j], passage[i]):
-                    before.append((1, j, j))
-                    i, j = i - 1, j - 1
-                elif j >= 1 and _alike(text[j - 1] + text[j], passage[i]):
-                    before.append((1, j - 1, j))
-                    i, j = i - 1, j - 2
-                else:
-                    break
-            path = before[::-1] + path
-            found = _longest(path)
-            if found[0] > best[0]:
-                best = found
+    best, seen = (0, 0, 0, 0), set()
+    back = passage[::-1], text[::-1]
+    for i0, j0 in starts:
+        if (i0, j0) in seen:
+            continue
+        after = _follow(passage, text, i0, j0, False)
+        before = _follow(*back, len(passage) - i0, len(text) - j0, True)
+        path = [(s, len(text) - 1 - b, len(text) - 1 - a) for s, a, b, _ in before[::-1]] + [(s, a, b) for s, a, b, _ in after]
+        seen.update((i, a) for s, a, _, i in after if not s)
+        best = max(best, _longest(path), key=lambda x: x[0])
     return best
 
 
-def _spoiled_step(passage: list[str], text: list[str], i: int, j: int) -> tuple[int, int] | None:
+def _follow(passage: list[str], text: list[str], i: int, j: int, reverse: bool) -> list[tuple[int, int, int, int]]:
+    """(spoiled, first and last text word, passage word) from (i, j) on, until the passage is left."""
+    path = []
+    while i < len(passage) and j < len(text):
+        if passage[i] == text[j]:
+            path.append((0, j, j, i))
+            i, j = i + 1, j + 1
+        elif step := _spoiled_step(passage, text, i, j, reverse):
+            used, taken = step
+            path += [(1, j, j + taken - 1, i + k) for k in range(used)]
+            i, j = i + used, j + taken
+        else:
+            break
+    return path
+
+
+def _spoiled_step(passage: list[str], text: list[str], i: int, j: int, reverse: bool) -> tuple[int, int] | None:
     """(passage words, text words) that a spoiled place takes, or None."""
+
+    def joined(words: list[str], at: int, n: int) -> str:
+        part = words[at : at + n]
+        return "".join(part[::-1] if reverse else part) if len(part) == n else ""
+
+    def ahead(a: int, b: int) -> bool:
+        return i + a == len(passage) or j + b < len(text) and passage[i + a] == text[j + b]
+
     word = passage[i]
-    ahead = lambda a, b: i + a < len(passage) and j + b < len(text) and passage[i + a] == text[j + b]
-    pair = text[j] + text[j + 1] if j + 1 < len(text) else ""
-    if pair and (pair == word or _alike(pair, word) and ahead(1, 2)):
-        return 1, 2
-    if i + 1 < len(passage) and (text[j] == word + passage[i + 1] or _alike(text[j], word + passage[i + 1]) and ahead(2, 1)):
+    for n in (2, 3):
+        if (pair := joined(text, j, n)) and (pair == word or ahead(1, n) and _alike(pair, word)):
+            return 1, n
+    if (both := joined(passage, i, 2)) and (text[j] == both or ahead(2, 1) and _alike(text[j], both)):
         return 2, 1
-    if _alike(text[j], word):
-        return 1, 1
-    if j + 2 < len(text) and _alike(pair + text[j + 2], word) and (ahead(1, 3) or i + 1 == len(passage)):
-        return 1, 3
-    return None
+    return (1, 1) if _alike(text[j], word) else None
 
 
 def _longest(path: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
@@ -185,31 +178,20 @@ def found_in(text: str, passages: Passages, least: int) -> list[tuple[int, int,
     text = repair(text)
     plain = words_of(spoken_text(text))
     joined = f" {' '.join(plain)} "
-    hits = defaultdict(list)
-    for end, (_, places) in passages.automaton.iter(joined):
-        for item, i in places:
-            hits[item].append((end, i))
+    hits = list(passages.automaton.iter(joined))
     if not hits:
         return []
     number, at = {}, 0
     for j, w in enumerate(plain):
         at += len(w) + 1
         number[at] = j
+    starts = defaultdict(list)
+    for end, places in hits:
+        for item, i in places:
+            starts[item].append((i, number[end] - SEED + 1))
     out, spots = [], None
-    for item, places in hits.items():
-        words = passages.words[item]
-        best = (0, 0, 0, 0)
-        ends = sorted({number[end] for end, _ in places})
-        clusters = [[ends[0], ends[0]]]
-        for e in ends[1:]:
-            if e - clusters[-1][1] > 2 * len(words):
-                clusters.append([e, e])
-            clusters[-1][1] = e
-        for first, last in clusters:
-            low, high = max(0, first - SEED - 2 * len(words)), min(len(plain), last + 2 * len(words))
-            found = align(words, plain[low:high])
-            if found[0] > best[0]:
-                best = (found[0], found[1], found[2] + low, found[3] + low)
+    for item, places in starts.items():
+        best = align(passages.words[item], plain, places)
         if best[0] >= least:
             if spots is None:
                 spots = [m.span() for m in _WORD.finditer(spoken_text(text, mapped=True).lower())]

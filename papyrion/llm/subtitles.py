@@ -11,12 +11,14 @@ TAG = re.compile(r"<[^<>\n]{1,80}>|\{\\?[^{}\n]{1,40}\}")
 # Marks around sound descriptions, and what the marks become in a lost encoding.
 SOUND_OPEN, SOUND_CLOSE = "[(♪♫#*�?", "])♪♫#*�?"
 _INLINE_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*♪|♫[^♫]*♫")
-# How credits and adverts in subtitle files begin or what they hold, in lower case.
-ADVERT = re.compile(
-    r"https?:/|www\.|\w\.(?:com|org|net|info|example|test|invalid)\b|>>>|<<<"
-    r"|subtitles? (?:by|at|from|downloaded)|subtitled by|synced|resync|corrected by|ripped by|translated by|captions? by|captioned|encoded by|transcript by|support us|advertise your|rate this|opensubtitles"
-    r"|untertitel(?: von)? ?:|untertitel von|übersetzung|sous-titr|sottotitol|legendas? ?(?:por|:)|tradu[cz](?:ido|ção|cción|ction|zione)[^\n]{0,3}(?:por|di|par|:)|subtítulos|vertaling|vertaald|ondertitel|tekstity|suomen(?:tanut|nos)|undertext|översätt|textning|перевод ?:|перев[её]л|субтитр|\bplayer for free"
-)
+# What credits and adverts in subtitle files hold, in lower case.
+ADVERT_MARKS = (
+    "http:/", "https:/", "www.", ">>>", "<<<", "subtitles by", "subtitle by", "subtitles at", "subtitles from", "subtitles downloaded", "subtitled by", "synced", "resync", "corrected by", "ripped by",
+    "translated by", "captions by", "caption by", "captioned", "encoded by", "transcript by", "support us", "advertise your", "rate this", "opensubtitles", "player for free", "untertitel:", "untertitel von",
+    "übersetzung", "sous-titr", "sottotitol", "legendas:", "legendas por", "traducido por", "traduzido por", "traducción:", "tradução:", "traduction :", "traduzione", "subtítulos", "vertaling", "vertaald",
+    "ondertitel", "tekstity", "suomennos", "suomentanut", "undertext", "översätt", "textning", "перевод:", "перевод :", "субтитр", "перевёл:", "перевел:",
+)
+_DOMAIN = re.compile(r"\w\.(?:com|org|net|info|example|test|invalid)\b")
 _SPEAKER = re.compile(r"^\s*(?:[-–—]\s*)?[^\W\d_a-zа-я][^\W_a-zа-яß-öø-ÿ]{1,24}(?: [^\W_a-zа-яß-öø-ÿ]{1,24})?:\s+(?=\S)")
 
 
@@ -100,7 +102,8 @@ def kind_of(body: str) -> str:
     if flat[0] in SOUND_OPEN and flat[-1] in SOUND_CLOSE and len(flat) > 2 and not any(c in flat[1:-1] for c in ("])" if flat[0] in "[(" else flat[0])):
         if flat[0] != "?" or flat[1] == " ":
             return "sound"
-    return "advert" if ADVERT.search(flat.lower()) else "spoken"
+    flat = flat.lower()
+    return "advert" if any(mark in flat for mark in ADVERT_MARKS) or "." in flat[:-1] and _DOMAIN.search(flat) else "spoken"
 
 
 def spoken_lines(body: str) -> list[str]:
