@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, cue_bodies, kind_of, repair
 
 SEED = 4
-_WORD = re.compile(r"[^\W_]+(?:['’‘`´\-‐‑­][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:(?:['’‘`´\-‐‑]|­+)[^\W_]+)*")
 _JOINER = re.compile(r"['’‘`´\-‐‑­]")
 _BROKEN = re.compile(r"(?<=\w)[-‐­]\n\s*(?=\w)")
 #: Shapes that character recognition takes for one another, brought to one form before words are compared.
@@ -35,6 +35,11 @@ def _blank(match: re.Match) -> str:
     return " " * (match.end() - match.start())
 
 
+def _nothing(match: re.Match) -> str:
+    """As many soft hyphens as were matched, which keep places and part no word."""
+    return "­" * (match.end() - match.start())
+
+
 def spoken_text(text: str, mapped: bool = False) -> str:
     """The spoken words' lines of a whole file: no times, cue numbers, tags, speakers, sound or advert cues.
 
@@ -44,7 +49,7 @@ def spoken_text(text: str, mapped: bool = False) -> str:
     kept, at = [], 0
     for start, end in cue_bodies(text):
         raw = text[start:end]
-        body = TAG.sub(_blank if mapped else "", raw) if "<" in raw or "{" in raw else raw
+        body = TAG.sub(_nothing if mapped else "", raw) if "<" in raw or "{" in raw else raw
         if kind_of(body) != "spoken":
             continue
         if "[" in body or "(" in body or "♪" in body:
@@ -56,7 +61,7 @@ def spoken_text(text: str, mapped: bool = False) -> str:
         kept.append(body if mapped else "\n" + body)
         at = end
     out = "".join(kept)
-    return _BROKEN.sub(lambda m: "­" * (m.end() - m.start()) if mapped else "", out) if "-" in out or "‐" in out or "­" in out else out
+    return _BROKEN.sub(_nothing if mapped else "", out) if "-" in out or "‐" in out or "­" in out else out
 
 
 class Passages:

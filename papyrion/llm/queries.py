@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.llm import components, langid, lookalike
+from papyrion.llm import components, langid, leakage, lookalike, mixture
 from papyrion.sources.tables import table
 from papyrion.stable import settle
 
@@ -38,5 +38,29 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d).select("doc_id", "lang", "first_cue", "last_cue", F.round("confidence", 4).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p9_found, p9_stretches)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "evalitem"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "itemid").distinct()
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+#: Sources whose weight grows (above 0) or falls over the training; the others balance them.
+LEANS = {"lecture_caps": 0.6, "festival_set": 0.5, "stream_dump": -0.5}
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), LEANS)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), LEANS)[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_stretches)}
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ ADVERT_MARKS = (
     "ondertitel", "tekstity", "suomennos", "suomentanut", "undertext", "översätt", "textning", "перевод:", "перевод :", "субтитр", "перевёл:", "перевел:",
 )
 _DOMAIN = re.compile(r"\w\.(?:com|org|net|info|example|test|invalid)\b")
-_SPEAKER = re.compile(r"^\s*(?:[-–—]\s*)?[^\W\d_a-zа-я][^\W_a-zа-яß-öø-ÿ]{1,24}(?: [^\W_a-zа-яß-öø-ÿ]{1,24})?:\s+(?=\S)")
+_SPEAKER = re.compile(r"^[\s\xad]*(?:[-–—][\s\xad]*)?[^\W\d_a-zа-я][^\W_a-zа-яß-öø-ÿ]{1,24}(?: [^\W_a-zа-яß-öø-ÿ]{1,24})?:\s+(?=\S)")
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
