@@ -50,7 +50,7 @@ def spoken_text(text: str, mapped: bool = False) -> str:
     for start, end in cue_bodies(text):
         raw = text[start:end]
         body = TAG.sub(_nothing if mapped else "", raw) if "<" in raw or "{" in raw else raw
-        if kind_of(body) != "spoken":
+        if kind_of(TAG.sub("", raw) if mapped else body) != "spoken":
             continue
         if "[" in body or "(" in body or "♪" in body:
             body = _INLINE_SOUND.sub(_blank, body)
