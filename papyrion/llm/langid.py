@@ -1,9 +1,9 @@
 """Languages of documents and of stretches in them, by rank-order profiles of n-grams.
 
-A profile is a language's most frequent n-grams of one to three characters in order of frequency,
+A profile is a language's most frequent n-grams of two and three characters in order of frequency,
 learnt from a bounded sample of labelled documents. The distance of a piece of text is the sum, over
-its n-grams, of how far the n-gram's place in the piece is from its place in the profile, or a fixed
-penalty if the profile lacks it. Distances are computed for all lines of an Arrow batch at once with
+its n-grams, of how far the n-gram's place in the piece is from its place in the profile; what the
+profile lacks has the place after its last. Distances are computed for all lines of an Arrow batch at once with
 numpy, once per different line.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.subtitles import TAG, cue_bodies, kind_of, repair, spoken_lines
+from papyrion.llm.subtitles import TAG, advert_marks, cue_bodies, kind_of, repair, spoken_lines
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BITS = 7
@@ -52,7 +52,7 @@ def _plain(text: str) -> str:
 
 
 def _coded(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, coded n-gram) of all n-grams of one to three characters, words padded by spaces."""
+    """(text number, coded n-gram) of all n-grams of two and three characters, words padded by spaces."""
     joined = "\n".join(f" {t} " for t in map(_plain, texts)) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     number = np.cumsum(points == 10) - (points == 10)
@@ -62,8 +62,8 @@ def _coded(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     ids[points == 10] = 0
     a, b, c = ids[:-2], ids[1:-1], ids[2:]
     number = number[1:-1]
-    one, two, three = (b > 1), (a > 0) & (b > 0) & ((a > 1) | (b > 1)), (a > 0) & (b > 1) & (c > 0)
-    return np.concatenate([number[one], number[two], number[three]]), np.concatenate([b[one], (a[two] << _BITS) | b[two], (a[three] << 2 * _BITS) | (b[three] << _BITS) | c[three]])
+    two, three = (a > 0) & (b > 0) & ((a > 1) | (b > 1)), (a > 0) & (b > 1) & (c > 0)
+    return np.concatenate([number[two], number[three]]), np.concatenate([(a[two] << _BITS) | b[two], (a[three] << 2 * _BITS) | (b[three] << _BITS) | c[three]])
 
 
 def _ranked(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,11 +86,12 @@ def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndar
         if not len(number):
             continue
         text, gram, place = _ranked(number, grams)
-        there = profiles.places[profiles.index[gram]].astype(np.int32)
-        apart = np.where(there < profiles.size, np.abs(there - place[:, None].astype(np.int32)), profiles.size)
+        apart = profiles.places[profiles.index[gram]]
+        apart -= np.minimum(place, profiles.size).astype(np.int16)[:, None]
+        np.abs(apart, out=apart)
         starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
         n = np.diff(np.r_[starts, len(text)])
-        out[at + text[starts]] = np.add.reduceat(apart, starts, axis=0) / n[:, None]
+        out[at + text[starts]] = np.add.reduceat(apart, starts, axis=0, dtype=np.int64) / n[:, None]
         sizes[at + text[starts]] = n
     return out, sizes
 
@@ -116,12 +117,12 @@ def spoken_cues(text: str) -> list[list[str]]:
     text = repair(text)
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    cues = []
+    cues, marks = [], advert_marks(text)
     for start, end in cue_bodies(text):
         body = text[start:end]
         if "<" in body or "{" in body:
             body = TAG.sub("", body)
-        if kind_of(body) == "spoken" and (lines := spoken_lines(body)):
+        if kind_of(body, marks) == "spoken" and (lines := spoken_lines(body)):
             cues.append(lines)
     return cues
 
@@ -218,8 +219,8 @@ def stretches_of(texts: list[str | None], profiles: Profiles, in_a_row: int) ->
     for text in texts:
         cues = []
         for lines in spoken_cues(text) if text else []:
-            if len(lines) > 1:
-                lines = [*lines, " ".join(lines)]
+            if len(lines) > 1:  # all lines together, where each may be too short
+                lines = [*lines, " ".join(lines) if max(map(len, lines)) < 20 else lines[-1]]
             cues.append([numbers.setdefault(line, len(numbers)) for line in lines])
         documents.append(cues)
     near, sizes = distances(list(numbers), profiles)
@@ -257,8 +258,14 @@ def stretches(documents: DataFrame, profiles: Profiles, in_a_row: int = 5) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts, labels = (c.to_pylist() for c in batch.slice(at, 500).columns)
+            at = 0
+            while at < batch.num_rows:
+                size, n = 0, 0
+                while n < 2000 and at + n < batch.num_rows and size < 8_000_000:
+                    size += len(batch.column(1)[at + n].as_buffer() or b"")
+                    n += 1
+                ids, texts, labels = (c.to_pylist() for c in batch.slice(at, n).columns)
+                at += n
                 rows = []
                 for doc, label, found in zip(ids, labels, stretches_of(texts, profiles, in_a_row)):
                     many = len({f[0] for f in found})

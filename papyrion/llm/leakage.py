@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, cue_bodies, kind_of, repair
+from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, advert_marks, cue_bodies, kind_of, repair
 
 SEED = 4
 _WORD = re.compile(r"[^\W_]+(?:(?:['’‘`´\-‐‑]|­+)[^\W_]+)*")
@@ -46,11 +46,11 @@ def spoken_text(text: str, mapped: bool = False) -> str:
     With `mapped`, everything left out is blanked, so that places are those of the repaired original.
     """
     text = text.replace("\r", " ") if "\r" in text else text
-    kept, at = [], 0
+    kept, at, marks = [], 0, advert_marks(text)
     for start, end in cue_bodies(text):
         raw = text[start:end]
         body = TAG.sub(_nothing if mapped else "", raw) if "<" in raw or "{" in raw else raw
-        if kind_of(TAG.sub("", raw) if mapped else body) != "spoken":
+        if kind_of(TAG.sub("", raw) if mapped else body, marks) != "spoken":
             continue
         if "[" in body or "(" in body or "♪" in body:
             body = _INLINE_SOUND.sub(_blank, body)

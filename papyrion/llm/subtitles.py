@@ -18,7 +18,8 @@ ADVERT_MARKS = (
     "übersetzung", "sous-titr", "sottotitol", "legendas:", "legendas por", "traducido por", "traduzido por", "traducción:", "tradução:", "traduction :", "traduzione", "subtítulos", "vertaling", "vertaald",
     "ondertitel", "tekstity", "suomennos", "suomentanut", "undertext", "översätt", "textning", "перевод:", "перевод :", "субтитр", "перевёл:", "перевел:",
 )
-_DOMAIN = re.compile(r"\w\.(?:com|org|net|info|example|test|invalid)\b")
+_DOMAIN_ENDS = (".com", ".org", ".net", ".info", ".example", ".test", ".invalid")
+_DOMAIN = re.compile(r"\w(?:" + "|".join(map(re.escape, _DOMAIN_ENDS)) + r")\b")
 _SPEAKER = re.compile(r"^[\s\xad]*(?:[-–—][\s\xad]*)?[^\W\d_a-zа-я][^\W_a-zа-яß-öø-ÿ]{1,24}(?: [^\W_a-zа-яß-öø-ÿ]{1,24})?:\s+(?=\S)")
 
 
@@ -57,9 +58,8 @@ def repair(text: str) -> str:
     for _ in range(2):
         if not _FIRST.search(text):
             break
-        high = sum(1 for ch in text if ch > "\x7f")
         best = max(((sum(map(len, pattern.findall(text))), i) for i, (_, pattern) in enumerate(_MISREAD)), key=lambda x: x[0])
-        if best[0] < 4 or best[0] < 0.4 * high:
+        if best[0] < 4 or best[0] < 0.4 * sum(1 for ch in text if ch > "\x7f"):
             break
         by, pattern = _MISREAD[best[1]]
         text = pattern.sub(lambda m: bytes(by[c] for c in m.group()).decode("utf-8", "replace"), text)
@@ -94,16 +94,27 @@ def cue_bodies(text: str) -> list[tuple[int, int]]:
     return bodies
 
 
-def kind_of(body: str) -> str:
-    """`spoken`, `sound` or `advert` for a cue's lines without tags."""
+def advert_marks(text: str) -> tuple[str, ...]:
+    """The advert marks that occur anywhere in a file, "." standing for web domains; looked up once, then per cue."""
+    flat = " ".join((TAG.sub("", text) if "<" in text or "{" in text else text).lower().split())
+    found = tuple(mark for mark in ADVERT_MARKS if mark in flat)
+    return (*found, ".") if any(end in flat for end in _DOMAIN_ENDS) and _DOMAIN.search(flat) else found
+
+
+def kind_of(body: str, marks: tuple[str, ...] = (*ADVERT_MARKS, ".")) -> str:
+    """`spoken`, `sound` or `advert` for a cue's lines without tags; `marks` are those to look for."""
     flat = " ".join(body.split()).lstrip("-–— ")
     if not flat:
         return "sound"
     if flat[0] in SOUND_OPEN and flat[-1] in SOUND_CLOSE and len(flat) > 2 and not any(c in flat[1:-1] for c in ("])" if flat[0] in "[(" else flat[0])):
         if flat[0] != "?" or flat[1] == " ":
             return "sound"
-    flat = flat.lower()
-    return "advert" if any(mark in flat for mark in ADVERT_MARKS) or "." in flat[:-1] and _DOMAIN.search(flat) else "spoken"
+    if marks:
+        flat = flat.lower()
+        for mark in marks:
+            if mark in flat and (mark != "." or _DOMAIN.search(flat)):
+                return "advert"
+    return "spoken"
 
 
 def spoken_lines(body: str) -> list[str]:
