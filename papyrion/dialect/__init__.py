@@ -1 +1 @@
-
+"""The query dialect: text to tokens to statements."""

@@ -1 +1 @@
-
+"""Statements to DataFrame plans."""
