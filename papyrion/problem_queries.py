@@ -69,3 +69,67 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_words_by_language, p1_synonyms_by_source, p4_found, p4_unified, p4_file_schemas, p5_found, p5_per_month, p6_found, p6_wide)}
+
+_KINDS = "CASE json_type(value) WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'fraction' WHEN 'BOOLEAN' THEN 'truth' WHEN 'VARCHAR' THEN 'text' END"
+_CELLS = f"""cells AS (
+  SELECT schemapath, fileseq, docpointer, lower(key) AS field, {_KINDS} AS kind, json_extract_string(value, '$') AS value
+  FROM (SELECT DISTINCT schemapath, fileseq, docpointer, elements FROM physicaldocument), json_each(elements))"""
+_FILE_SCHEMAS = f"""{_CELLS}, counted AS (
+  SELECT schemapath, fileseq, field, kind, count(*) AS n FROM cells GROUP BY ALL), fields AS (
+  SELECT schemapath, fileseq, field, arg_max(kind, n) FILTER (WHERE kind IS NOT NULL) AS kind FROM counted GROUP BY ALL), files AS (
+  SELECT DISTINCT schemapath, fileseq FROM physicaldocument)"""
+_CHANGES = f"""WITH {_FILE_SCHEMAS}, followed AS (
+  SELECT f.schemapath, f.fileseq FROM files f JOIN files g ON g.schemapath = f.schemapath AND g.fileseq = f.fileseq - 1), arrived AS (
+  SELECT a.* FROM fields a SEMI JOIN followed USING (schemapath, fileseq) ANTI JOIN fields b ON b.schemapath = a.schemapath AND b.fileseq = a.fileseq - 1 AND b.field = a.field), gone AS (
+  SELECT b.schemapath, b.fileseq + 1 AS fileseq, b.field FROM fields b JOIN followed f ON f.schemapath = b.schemapath AND f.fileseq = b.fileseq + 1 ANTI JOIN fields a ON a.schemapath = b.schemapath AND a.fileseq = b.fileseq + 1 AND a.field = b.field), held AS (
+  SELECT DISTINCT schemapath, fileseq, docpointer FROM physicaldocument), old AS (
+  SELECT g.schemapath, g.fileseq, g.field, c.docpointer, c.value FROM gone g JOIN cells c ON c.schemapath = g.schemapath AND c.fileseq = g.fileseq - 1 AND c.field = g.field AND c.kind IS NOT NULL
+  SEMI JOIN held h ON h.schemapath = g.schemapath AND h.fileseq = g.fileseq AND h.docpointer = c.docpointer), filled AS (
+  SELECT schemapath, fileseq, field, count(DISTINCT docpointer) AS n FROM old GROUP BY ALL), renamed AS (
+  SELECT o.schemapath, o.fileseq, o.field AS oldfield, a.field AS newfield FROM old o JOIN arrived a ON a.schemapath = o.schemapath AND a.fileseq = o.fileseq
+  JOIN cells c ON c.schemapath = a.schemapath AND c.fileseq = a.fileseq AND c.field = a.field AND c.docpointer = o.docpointer AND c.value = o.value
+  JOIN filled f ON f.schemapath = o.schemapath AND f.fileseq = o.fileseq AND f.field = o.field GROUP BY ALL HAVING count(DISTINCT o.docpointer) > 0.5 * any_value(f.n))
+SELECT schemapath, fileseq, 'renamed' AS changetype, oldfield, newfield FROM renamed UNION ALL
+SELECT schemapath, fileseq, 'added', '', field FROM arrived a ANTI JOIN renamed r ON r.schemapath = a.schemapath AND r.fileseq = a.fileseq AND r.newfield = a.field UNION ALL
+SELECT schemapath, fileseq, 'removed', field, '' FROM gone g ANTI JOIN renamed r ON r.schemapath = g.schemapath AND r.fileseq = g.fileseq AND r.oldfield = g.field UNION ALL
+SELECT a.schemapath, a.fileseq, 'retyped', a.field, a.field FROM fields a JOIN fields b ON b.schemapath = a.schemapath AND b.fileseq = a.fileseq - 1 AND b.field = a.field WHERE a.kind <> b.kind"""
+
+
+def _orphans_of(tablename: str, fieldname: str, rowkey: str, parent: str, log: str) -> str:
+    return f"""SELECT '{tablename}' AS tablename, '{fieldname}' AS fieldname, r.{rowkey}::BIGINT AS rowkey, r.{fieldname}::BIGINT AS refkey,
+  CASE WHEN p.id IS NOT NULL THEN 'late' WHEN d.id IS NOT NULL THEN 'deleted' ELSE 'missing' END AS reason, strftime(r.created, '%Y-%m') AS refmonth
+  FROM {tablename} r LEFT JOIN (SELECT id, min(created) AS first FROM {parent} GROUP BY id) p ON p.id = r.{fieldname}
+  LEFT JOIN (SELECT DISTINCT id FROM wl_deletion WHERE schemapath = '{log}') d ON d.id = r.{fieldname}
+  WHERE r.{fieldname} IS NOT NULL AND (p.id IS NULL OR p.first > r.created)"""
+
+
+_ORPHANS = " UNION ".join(
+    (
+        _orphans_of("wl_synonym", "targetwordid", "sourcewordid", "wl_word", "WordList:Word"),
+        _orphans_of("wl_soundmap", "wordid", "id", "wl_word", "WordList:Word"),
+        _orphans_of("wl_translation", "sourcewordid", "targetwordid", "wl_word", "WordList:Word"),
+        _orphans_of("wl_word", "languageid", "id", "wl_language", "WordList:Language"),
+    )
+)
+_TYPED = r"""
+  CASE t WHEN 'string' THEN v
+  WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN lower(v) IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+  WHEN 'bigint' THEN CASE WHEN regexp_full_match(v, '[+-]?\d+(\.0*)?') THEN regexp_replace(v, '\.0*$', '')::BIGINT::VARCHAR WHEN regexp_full_match(v, '[+-]?\d{1,3}(,\d{3})+') THEN replace(v, ',', '')::BIGINT::VARCHAR END
+  WHEN 'double' THEN TRY_CAST(TRY_CAST(CASE WHEN regexp_full_match(v, '[+-]?\d{1,3}(,\d{3})+\.\d+') THEN replace(v, ',', '') WHEN regexp_full_match(v, '[+-]?\d{1,3}(\.\d{3})+,\d+') THEN replace(replace(v, '.', ''), ',', '.')
+    WHEN regexp_full_match(v, '[+-]?\d+,\d{2}') THEN replace(v, ',', '.') WHEN regexp_full_match(v, '[+-]?\d+(\.\d*)?([eE][+-]?\d+)?') THEN v END AS DOUBLE) AS DECIMAL(38, 2))::VARCHAR
+  WHEN 'date' THEN strftime(CASE WHEN regexp_full_match(v, '\d{4}-\d{1,2}-\d{1,2}(T\d\d:\d\d:\d\d)?') THEN TRY_CAST(left(v, 10) AS DATE) WHEN regexp_full_match(v, '\d{4}/\d{1,2}/\d{1,2}') THEN try_strptime(v, '%Y/%m/%d')::DATE
+    WHEN regexp_full_match(v, '\d{1,2}\.\d{1,2}\.\d{4}') THEN try_strptime(v, '%d.%m.%Y')::DATE WHEN regexp_full_match(v, '\d{8}') THEN try_strptime(v, '%Y%m%d')::DATE WHEN regexp_full_match(v, '\d{1,2} [A-Za-z]{3} \d{4}') THEN try_strptime(v, '%d %b %Y')::DATE END, '%Y-%m-%d') END"""
+_BEST = """best AS (
+  SELECT d.schemapath, d.documentid, lower(trim(d.elementname, E' \t\n')) AS name, e.typename AS t, nullif(trim(arg_max({'v': d.elementvalue}, (d.modified, d.created, coalesce(d.elementvalue, ''))).v, E' \t\n'), '') AS v
+  FROM documentelement d JOIN elementtype e ON e.schemapath = d.schemapath AND lower(e.elementname) = lower(trim(d.elementname, E' \t\n')) GROUP BY ALL)"""
+
+SQL: dict[str, str] = {
+    "p1_found": " UNION ALL ".join(f"SELECT '{t}' AS tablename, '{f}' AS fieldname, {f}::BIGINT AS keyvalue FROM {t} WHERE {f} IS NOT NULL GROUP BY {f} HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM {t})" for t, f in (("wl_word", "languageid"), ("wl_synonym", "sourcewordid"))),
+    "p1_words_by_language": "SELECT languageid, count(*) AS n_rows, count(text) AS n_texts, min(id) AS min_id, max(id) AS max_id, max(length(text))::BIGINT AS longest, min(created) AS first_created, max(modified) AS last_modified, count(DISTINCT id) AS n_ids FROM wl_word GROUP BY languageid",
+    "p1_synonyms_by_source": "SELECT sourcewordid, count(*) AS n_rows, sum(confidence)::BIGINT AS sum_confidence, count(confidence) AS n_confidence, min(targetwordid) AS min_target, max(targetwordid) AS max_target, count(DISTINCT targetwordid) AS n_targets FROM wl_synonym GROUP BY sourcewordid",
+    "p4_found": _CHANGES,
+    "p4_file_schemas": f"WITH {_FILE_SCHEMAS.replace('SELECT DISTINCT schemapath, fileseq, docpointer, elements FROM physicaldocument', 'SELECT schemapath, fileseq, docpointer, elements FROM physicaldocument')} SELECT schemapath, fileseq, field, kind, (SELECT coalesce(sum(n), 0) FROM counted c WHERE c.schemapath = fields.schemapath AND c.fileseq = fields.fileseq AND c.field = fields.field AND c.kind IS NOT NULL)::BIGINT AS filled FROM fields",
+    "p5_found": _ORPHANS,
+    "p5_per_month": f"SELECT tablename, fieldname, reason, refmonth, count(*) AS n_references, count(DISTINCT refkey) AS n_keys FROM ({_ORPHANS}) GROUP BY ALL",
+    "p6_found": f"WITH {_BEST} SELECT DISTINCT documentid, name AS elementname, typedvalue FROM (SELECT documentid, name, {_TYPED} AS typedvalue FROM best) WHERE typedvalue IS NOT NULL",
+}
