@@ -63,4 +63,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_stretches)}
-SQL: dict[str, str] = {}
+
+def _skeleton_sql() -> str:
+    """`lookalike.skeleton` as SQL over the column text."""
+    from_, to, gone, ligatures = (x.replace("'", "''") if isinstance(x, str) else x for x in lookalike.character_map())
+    out = f"translate(text, '{from_ + gone}', '{to}')"
+    for ligature, letters in ligatures:
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return out
+
+
+_VALUES = f"""values_ AS (SELECT DISTINCT languageid, text, {_skeleton_sql()} AS s FROM wl_word WHERE languageid IS NOT NULL AND text IS NOT NULL), keyed AS (SELECT *, nfc_normalize(s) AS k FROM values_)"""
+_LINKS = "links AS (SELECT DISTINCT sourcewordid AS a, targetwordid AS b FROM wl_synonym WHERE sourcewordid IS NOT NULL AND targetwordid IS NOT NULL), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links)"
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_VALUES}, w AS (SELECT DISTINCT id, languageid, text, k FROM wl_word JOIN keyed USING (languageid, text)) SELECT DISTINCT a.id AS wordid_a, b.id AS wordid_b FROM w a JOIN w b ON b.languageid = a.languageid AND b.k = a.k WHERE a.id < b.id AND a.text <> b.text",
+    "p2_canonical": f"WITH {_VALUES}, classes AS (SELECT languageid, k, arg_min(text, (s <> text, length(text), text)) AS canonical, count(*) AS n_texts FROM keyed GROUP BY ALL) SELECT languageid, text, canonical, n_texts FROM keyed JOIN classes USING (languageid, k)",
+    "p3_found": f"WITH RECURSIVE {_LINKS}, groups_(id, g) USING KEY (id) AS (SELECT a, a FROM both_ways UNION (SELECT e.b, min(x.g) FROM groups_ x JOIN both_ways e ON e.a = x.id JOIN recurring.groups_ y ON y.id = e.b WHERE x.g < y.g GROUP BY e.b)) SELECT id AS wordid, g AS groupid FROM groups_",
+}
