@@ -223,6 +223,8 @@ def stretches_of(texts: list[str | None], profiles: Profiles, in_a_row: int) ->
                 lines = [*lines, " ".join(lines) if max(map(len, lines)) < 20 else lines[-1]]
             cues.append([numbers.setdefault(line, len(numbers)) for line in lines])
         documents.append(cues)
+    if not profiles.languages:
+        return [[] for _ in texts]
     near, sizes = distances(list(numbers), profiles)
     out = []
     for cues in documents:
