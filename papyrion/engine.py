@@ -159,8 +159,9 @@ class Engine:
         return [into(**{known[k.lower()]: v for k, v in r.items() if k.lower() in known}) for r in rows]
 
     def first(self, text: str, parameters: dict | None = None) -> dict | None:
-        rows = [dict(zip((f := self.sql(text, parameters)).columns, r)) for r in f.take(1)]
-        return rows[0] if rows else None
+        frame = self.sql(text, parameters)
+        row = frame.first()
+        return None if row is None else dict(zip(frame.columns, row))
 
     def single(self, text: str, parameters: dict | None = None) -> dict:
         """The only row; none or several raise."""

@@ -56,6 +56,8 @@ def inserted(catalog: Catalog, insert: Insert, variables: dict, document: bool)
     for row in insert.rows:
         values = {}
         for name, node in row:
+            if name.lower() in values:
+                raise DialectError(f"field {name!r} is given twice")
             fields.setdefault(name.lower(), name)
             values[name.lower()] = lowering.value(node)
         rows.append(values)
