@@ -46,23 +46,31 @@ class _Forest:
             self.parent[a] = b
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _spell(forest: _Forest) -> Iterator[pa.RecordBatch]:
+    ids = list(forest.parent)
+    for i in range(0, len(ids), 100_000):
+        part = ids[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([forest.root(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of a partition's links; one that has grown to `most` records is given out and a new one begun."""
     forest = _Forest()
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) > 1 else np.stack([a, b], 1)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             for x, y in pairs.tolist():
                 forest.link(x, y)
-    ids = list(forest.parent)
-    for i in range(0, len(ids), 100_000):
-        part = ids[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([forest.root(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=list(names))
+        if len(forest.parent) >= most:
+            yield from _spell(forest)
+            forest = _Forest()
+    yield from _spell(forest)
 
 
-def _spanning(links: DataFrame) -> DataFrame:
+def _spanning(links: DataFrame, most: int) -> DataFrame:
     """Links (root, record) that connect what the links of each partition connect, and (record, record) for roots."""
-    return links.mapInArrow(lambda batches: _pieces(batches, ("a", "b")), _LINKS)
+    return links.mapInArrow(lambda batches: _pieces(batches, most), _LINKS)
 
 
 def _contract(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +82,7 @@ def _contract(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return joins, moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def groups(links: DataFrame, a: str, b: str, bound: int = 2_000_000, fan_in: int = 4) -> DataFrame:
+def groups(links: DataFrame, a: str, b: str, bound: int = 1_500_000, fan_in: int = 4) -> DataFrame:
     """(`wordid`, `groupid`): every id of a link whose two ids are non-null, with the smallest id of its group.
 
     Direction and repetition do not matter; an id linked only with itself is its own group. `bound` is
@@ -82,7 +90,7 @@ def groups(links: DataFrame, a: str, b: str, bound: int = 2_000_000, fan_in: int
     Links with a null id count for nothing; an empty table gives no rows.
     """
     plain = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
-    forest = settle(_spanning(plain))
+    forest = settle(_spanning(plain, bound))
     rounds: list[DataFrame] = []
     count, parts = forest.count(), max(1, forest.rdd.getNumPartitions())
     while parts > 1:
@@ -91,9 +99,9 @@ def groups(links: DataFrame, a: str, b: str, bound: int = 2_000_000, fan_in: int
         if merged >= parts:  # the records alone exceed the bound
             joins, forest = _contract(forest, len(rounds))
             rounds.append(joins)
-            forest = settle(_spanning(forest.repartition(parts)))
+            forest = settle(_spanning(forest.repartition(parts), bound))
         else:
-            forest = settle(_spanning(forest.repartition(merged) if merged > 1 else forest.coalesce(1)))
+            forest = settle(_spanning(forest.repartition(merged), 2 * bound))
         parts = merged if merged < parts else parts
         count = forest.count()
     labels = forest.select(F.col("b").alias("wordid"), F.col("a").alias("groupid"))

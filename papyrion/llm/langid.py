@@ -133,13 +133,14 @@ def label_code(label):
     return code if len(code) == 2 and code.isalpha() and code.isascii() else None
 
 
-def learn(documents: DataFrame, languages: list[str], sample: int = 4000, size: int = 1500) -> Profiles:
+def learn(documents: DataFrame, languages: list[str], sample: int = 4000, size: int = 1500, longest: int = 50_000) -> Profiles:
     """Profiles from at most about `sample` documents whose label begins with one of `languages`.
 
-    The sample is drawn by a hash of the document's id. Wrong labels are weeded out once: profiles of
+    The sample is drawn by a hash of the document's id among texts of up to `longest` characters, so
+    that it is bounded in size. Wrong labels are weeded out once: profiles of
     all sampled texts classify these, and only the texts that agree with their label are learnt from.
     """
-    labelled = documents.where(F.lower(F.substring(F.trim("lang"), 1, 2)).isin(languages) & F.col("text").isNotNull())
+    labelled = documents.where(F.lower(F.substring(F.trim("lang"), 1, 2)).isin(languages) & (F.length("text") <= longest))
     count = labelled.select(F.count(F.lit(1))).first()[0]
     share = min(1.0, sample / max(1, count))
     rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))).select("lang", "text").limit(2 * sample).collect()

@@ -104,7 +104,7 @@ def mix(documents: DataFrame, targets: DataFrame, leans: dict[str, float] | None
     placed = counts.join(F.broadcast(sources), "source").withColumn("hash", hashed).withColumn("slice", F.pmod(F.col("hash"), F.col("slices")))  # one row per source
     slices = placed.groupBy("source", "slice").agg(F.sum("tokens").alias("in_slice"))
     before = slices.withColumn("before", F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice")) - F.col("in_slice")).select("source", "slice", "before")
-    inner = Window.partitionBy("source", "slice").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "slice").orderBy("hash", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("inside", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).join(before, ["source", "slice"]).withColumn("offset", F.col("before") + F.col("inside"))
     uses = at.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("maxrepeats")))).withColumn("start", (F.col("repeat") - 1) * F.col("size") + F.col("offset"))
     chosen = uses.where(F.col("start") + F.col("tokens") / 2 < F.col("demand"))
