@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.subtitles import TAG, advert_marks, cue_bodies, kind_of, repair, spoken_lines
+from papyrion.sources.tables import spread
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BITS = 7
@@ -256,7 +257,7 @@ def stretches(documents: DataFrame, profiles: Profiles, in_a_row: int = 5) -> Da
     the spoken ones, `languages` is the document's number of languages, `confidence` is by how much
     the language's distance is below that of the next one (0 to 1). Lines of two languages in one cue
     belong to two stretches. Null and empty texts, and texts without such a stretch, give no row.
-    Nothing is shuffled, and a batch's memory follows its texts.
+    A batch's memory follows its texts, and nothing is shuffled unless a few files would leave cores idle.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +278,7 @@ def stretches(documents: DataFrame, profiles: Profiles, in_a_row: int = 5) -> Da
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "label", "lang", "first_cue", "last_cue", "confidence", "languages"])
 
-    return documents.select("doc_id", "text", "lang").mapInArrow(scan, _STRETCHES)
+    return spread(documents.select("doc_id", "text", "lang"), "doc_id").mapInArrow(scan, _STRETCHES)
 
 
 def wrong_labels(found: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, advert_marks, cue_bodies, kind_of, repair
+from papyrion.sources.tables import spread
 
 SEED = 4
 _WORD = re.compile(r"[^\W_]+(?:(?:['’‘`´\-‐‑]|­+)[^\W_]+)*")
@@ -215,7 +216,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12, most_items: i
     document (counted in code points after repair of its encoding). The held-out set, which every task
     scans for, is read by the driver; more than `most_items` passages raise an error and must be
     looked for in blocks. Null and empty texts and passages, and passages of fewer than `least` words,
-    match nothing; of items of equal text each is reported. Nothing is shuffled.
+    match nothing; of items of equal text each is reported. Nothing is shuffled unless a few files would
+    leave cores idle.
     """
     rows = items.where("itemid IS NOT NULL AND passage IS NOT NULL").select("itemid", "passage").distinct().limit(most_items + 1).collect()
     if len(rows) > most_items:
@@ -228,4 +230,4 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12, most_items: i
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 6, kinds)], names=["doc_id", "itemid", "words", "spoiled", "start", "end"])
 
-    return documents.select("doc_id", "text").mapInArrow(scan, _FOUND)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(scan, _FOUND)

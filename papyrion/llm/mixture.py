@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrion.sources.tables import spread
 from papyrion.stable import settle
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -48,7 +49,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [len(encode(text.as_py() or "")) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInArrow(count, "doc_id bigint, source string, tokens bigint")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text"), "doc_id").mapInArrow(count, "doc_id bigint, source string, tokens bigint")
 
 
 def plan(counts: DataFrame, targets: DataFrame, leans: dict[str, float] | None = None, total: int | None = None) -> list[dict]:
