@@ -1 +1 @@
-
+"""Dialect queries over Structured Streaming sources."""
