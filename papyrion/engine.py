@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrion.dialect.lexer import DialectError
-from papyrion.dialect.nodes import Call, Chain, Compare, Delete, Group, Insert, Logic, Select, Statement, Unary, Update
+from papyrion.dialect.nodes import Call, Chain, Compare, Delete, Group, Insert, Logic, Number, Select, Statement, Unary, Update
 from papyrion.dialect.parser import parse
 from papyrion.functions import system
 from papyrion.functions.values import literal
@@ -67,11 +67,14 @@ class Engine:
     """One session. `document` treats all text as that of schemaless documents and gives results as text.
 
     `storage` is a folder (shared, on a cluster) to which changed tables are written as Parquet;
-    without it they stay plans over their sources, cut by checkpoints every few changes.
+    without it they stay plans over their sources, cut by checkpoints every few changes. In SELECTs'
+    joins a null key matches null keys, as `=` does elsewhere; `null_keys=False` turns that off for joins
+    of large tables with many null keys, and lets Spark join on the bare columns.
     """
 
-    def __init__(self, spark: SparkSession, document: bool = False, storage: str | None = None, account: str = "admin", catalog: Catalog | None = None, policies: Policies | None = None, sticky_sort: bool = False) -> None:
+    def __init__(self, spark: SparkSession, document: bool = False, storage: str | None = None, account: str = "admin", catalog: Catalog | None = None, policies: Policies | None = None, sticky_sort: bool = False, null_keys: bool = True) -> None:
         self.spark, self.document, self.storage, self.account, self.sticky_sort = spark, document, storage, account, sticky_sort
+        self.null_keys = null_keys
         self.catalog = catalog or Catalog(spark)
         self.policies = policies or Policies()
         self.transactions: list[Catalog] = []
@@ -135,6 +138,42 @@ class Engine:
         names = [n if output.columns.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(output.columns)]
         output.toDF(*names).write.mode("overwrite").option("header", True).csv(folder)
 
+    # -- API: schemas and indexes
+
+    def create_schema(self, path: str, page_size: int | None = None) -> None:
+        """Creates a schema with its parents."""
+        self._permit("manage", path)
+        self.catalog.create(path, page_size)
+
+    def schema_exists(self, path: str) -> bool:
+        return self.catalog.exists(path)
+
+    def drop_schema(self, path: str, if_exists: bool = True) -> None:
+        self._permit("manage", path)
+        if not if_exists:
+            self.catalog.get(path)
+        self.catalog.drop(path)
+
+    def schemas(self, path: str = ":") -> list[str]:
+        """Paths of the schemas right below one."""
+        return [s.path for s in self.catalog.children(path)]
+
+    def create_index(self, path: str, name: str, fields: list[str], unique: bool = False, partitions: int = 100) -> None:
+        self._do_create_index(Statement("create index", name, path, list(fields), {"partitions": Number(float(partitions), str(partitions))}), unique)
+
+    def index(self, path: str, name: str) -> Index | None:
+        return self.catalog.get(path).indexes.get(name.lower())
+
+    def indexes(self, path: str) -> list[Index]:
+        return list(self.catalog.get(path).indexes.values())
+
+    def drop_index(self, path: str, name: str) -> None:
+        self._do_drop_index(Statement("drop index", name, path))
+
+    def rebuild_index(self, path: str, name: str, partitions: int | None = None) -> None:
+        options = {"partitions": Number(float(partitions), str(partitions))} if partitions else {}
+        self._do_rebuild_index(Statement("rebuild index", name, path, options=options))
+
     # -- API: queries
 
     def execute(self, text: str, parameters: dict | None = None) -> list[QueryResult]:
@@ -261,7 +300,7 @@ class Engine:
 
     def _select(self, select: Select) -> QueryResult:
         self._permit("read", *(s.path for s in select.sources))
-        output = build(self.catalog, select, self.variables, self.document, self.sticky_sort)
+        output = build(self.catalog, select, self.variables, self.document, self.sticky_sort, self.null_keys)
         if select.into is None:
             return QueryResult(output.frame, output.names, warnings=self._warnings(output))
         path = self._real(select.into)
@@ -501,7 +540,7 @@ class Engine:
 
     def session(self, account: str) -> Engine:
         """Another session over the same catalog as it is now."""
-        return Engine(self.spark, self.document, self.storage, account, self.catalog, self.policies, self.sticky_sort)
+        return Engine(self.spark, self.document, self.storage, account, self.catalog, self.policies, self.sticky_sort, self.null_keys)
 
 
 def _written(node) -> str:

@@ -53,11 +53,12 @@ class Lowering:
     """Turns expressions of one scope into values.
 
     `replaced` holds, for expressions in simplified form, the value that already stands for them: the
-    results of aggregates and grouping keys after a GROUP BY. `outside` gives other fields there.
+    results of aggregates and grouping keys after a GROUP BY. `outside` gives other fields there. With
+    `null_equal` off, `=` between fields does not match null with null, as in SQL.
     """
 
-    def __init__(self, scope: Scope, replaced: dict | None = None, outside: Callable[[Field], Value] | None = None) -> None:
-        self.scope, self.replaced, self.outside = scope, replaced or {}, outside
+    def __init__(self, scope: Scope, replaced: dict | None = None, outside: Callable[[Field], Value] | None = None, null_equal: bool = True) -> None:
+        self.scope, self.replaced, self.outside, self.null_equal = scope, replaced or {}, outside, null_equal
 
     # -- values
 
@@ -234,8 +235,8 @@ class Lowering:
         if "null" in (left.kind, right.kind):
             return left.column.isNull() if right.kind == "null" else right.column.isNull()
         a, b = self._sides(left, right)
-        if left.literal is not None or right.literal is not None:
-            return a == b  # the same rows as the null-safe form, and it can be pushed to the scan
+        if left.literal is not None or right.literal is not None or not self.null_equal:
+            return a == b  # with a constant the same rows as the null-safe form, and it can be pushed to the scan
         return a.eqNullSafe(b)
 
     def _different(self, left: Value, right: Value) -> Column:

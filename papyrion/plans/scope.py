@@ -20,6 +20,7 @@ class Scope:
     fields: dict[str, dict[str, tuple[str, str]]] = field(default_factory=dict)  # alias -> field in lower case -> (column, kind)
     shown: dict[str, list[str]] = field(default_factory=dict)  # alias -> names as written
     missing: list[str] = field(default_factory=list)
+    null_keys: bool = True  # whether null equals null between fields in a join
 
     def add(self, alias: str, frame: DataFrame) -> DataFrame:
         key = alias.lower()

@@ -37,7 +37,7 @@ def joined(catalog: Catalog, sources: list[Source], scope: Scope, row_ids: dict[
         if df is None:
             df = right
         else:
-            df = df.join(right, Lowering(scope).condition(source.on), "inner" if source.join == "inner" else "left")
+            df = df.join(right, Lowering(scope, null_equal=scope.null_keys).condition(source.on), "inner" if source.join == "inner" else "left")
     return df
 
 
@@ -51,9 +51,9 @@ def limit_of(node, scope: Scope) -> int | None:
         raise DialectError(f"a number of rows cannot be {value!r}") from None
 
 
-def build(catalog: Catalog, select: Select, variables: dict, document: bool = False, sticky_sort: bool = False) -> Output:
+def build(catalog: Catalog, select: Select, variables: dict, document: bool = False, sticky_sort: bool = False, null_keys: bool = True) -> Output:
     """The plan of a SELECT. Nothing runs."""
-    scope = Scope(document, variables)
+    scope = Scope(document, variables, null_keys=null_keys)
     df = joined(catalog, select.sources, scope)
     if select.where is not None:
         df = df.where(Lowering(scope).condition(select.where))

@@ -277,3 +277,25 @@ def test_a_filter_and_the_columns_reach_the_scan(spark):
     plan = e.explain_plan("SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
     assert "GreaterThan(l_quantity,45.0)" in plan.replace(" ", "") or "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_schema_and_index_api(engine):
+    engine.create_schema("X:Y:Z")
+    assert engine.schema_exists("x:y") and engine.schemas("X") == ["X:Y"] and not engine.schema_exists("X:Q")
+    engine.create_index("ERP:Person", "uk", ["PersonID"], unique=True, partitions=7)
+    engine.rebuild_index("ERP:Person", "uk", 9)
+    assert engine.index("ERP:Person", "UK").partitions == 9 and [i.name for i in engine.indexes("ERP:Person")] == ["uk"]
+    engine.drop_index("ERP:Person", "uk")
+    assert engine.index("ERP:Person", "uk") is None
+    engine.drop_schema("X")
+    with pytest.raises(DialectError):
+        engine.drop_schema("X", if_exists=False)
+
+
+def test_null_keys_in_joins(spark):
+    text_ = "SELECT a.v, b.w FROM A AS a INNER JOIN B AS b ON a.k = b.k"
+    for null_keys, n in ((True, 2), (False, 1)):
+        e = Engine(spark, null_keys=null_keys)
+        e.register("A", spark.createDataFrame([(1, 1), (None, 2)], "k int, v int"))
+        e.register("B", spark.createDataFrame([(1, 1), (None, 2)], "k int, w int"))
+        assert e.sql(text_).count() == n
