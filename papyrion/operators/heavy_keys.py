@@ -36,12 +36,15 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """(`key`, `n`, `total`) for each non-null key that holds at least `share` of all rows of `df`.
 
     Rows with a null key count towards the total, repeated rows count each time, and keys exactly at
-    the share are in. The total is the sum over the folded states, so the rows are read once for it
-    and nothing but one number per task is moved. An empty table gives no rows.
+    the share are in. The total is a scalar subquery that reads no column. An empty table gives no rows.
     """
     counts = df.groupBy(F.col(key).alias("keyvalue")).agg(F.count(F.lit(1)).alias("n"))
-    counts.createOrReplaceTempView(view := f"__papyrion_counts_{id(counts)}")
+    views = {f"__papyrion_counts_{id(counts)}": counts, f"__papyrion_rows_{id(counts)}": df}
+    for name, frame in views.items():
+        frame.createOrReplaceTempView(name)
+    one, every = views
     try:
-        return df.sparkSession.sql(f"SELECT keyvalue, n, (SELECT coalesce(sum(n), 0) FROM {view}) AS total FROM {view} WHERE keyvalue IS NOT NULL AND n >= {share!r}D * (SELECT coalesce(sum(n), 0) FROM {view})")
+        return df.sparkSession.sql(f"SELECT keyvalue, n, (SELECT count(1) FROM {every}) AS total FROM {one} WHERE keyvalue IS NOT NULL AND n >= {share!r}D * (SELECT count(1) FROM {every})")
     finally:
-        df.sparkSession.catalog.dropTempView(view)
+        for name in views:
+            df.sparkSession.catalog.dropTempView(name)
