@@ -259,9 +259,15 @@ class Engine:
         """Restores what was before the outermost BEGIN."""
         if not self.transactions:
             raise DialectError("no transaction is open")
-        self.catalog = self.transactions[0]
+        self.catalog.restore(self.transactions[0])
         self.transactions = []
 
+    def close(self) -> None:
+        """Ends the session: an open transaction is rolled back and temporary schemas go."""
+        if self.transactions:
+            self.rollback()
+        self.catalog.drop(f"Temporary_{self.process}")
+
     def cancel(self, process) -> None:
         self.spark.sparkContext.cancelJobGroup(str(process))
 
@@ -302,7 +308,7 @@ class Engine:
         self._permit("read", *(s.path for s in select.sources))
         output = build(self.catalog, select, self.variables, self.document, self.sticky_sort, self.null_keys)
         if select.into is None:
-            return QueryResult(output.frame, output.names, warnings=self._warnings(output))
+            return QueryResult(output.frame, output.names, warnings=self._warnings(output) + self._null_warnings(select, output))
         path = self._real(select.into)
         self._permit("write", path)
         if len({n.lower() for n in output.names}) < len(output.names):
@@ -315,6 +321,15 @@ class Engine:
     def _warnings(self, output: Output) -> list[str]:
         return [f"field {m!r} was not found" for m in output.missing] if self.settings.get("warnmissingfields") else []
 
+    def _null_warnings(self, select: Select, output: Output) -> list[str]:
+        """Which computed fields are null in how many rows, if the session asks for it; this runs the query once."""
+        computed = [i for i, f in enumerate(select.fields) if isinstance(getattr(f, "value", None), (Chain, Unary))]
+        if not self.settings.get("warnnullpropagation") or not computed or len(output.names) != len(select.fields):
+            return []
+        frame = output.frame.toDF(*(f"c{i}" for i in range(len(output.names))))
+        counts = frame.agg(*(F.count(F.when(F.col(f"c{i}").isNull(), 1)).alias(f"c{i}") for i in computed)).first()
+        return [f"{output.names[i]!r} is null in {counts[f'c{i}']} rows, as an operand is" for i in computed if counts[f"c{i}"]]
+
     def _insert(self, insert: Insert) -> QueryResult:
         path = self._real(insert.path)
         self._permit("write", path)
@@ -539,7 +554,7 @@ class Engine:
         self.policies.revoke(s.name, s.path, s.names[0])
 
     def session(self, account: str) -> Engine:
-        """Another session over the same catalog as it is now."""
+        """Another session over the same catalog. A rollback restores the whole catalog, also what other sessions changed meanwhile."""
         return Engine(self.spark, self.document, self.storage, account, self.catalog, self.policies, self.sticky_sort, self.null_keys)
 
 

@@ -51,6 +51,10 @@ class Catalog:
         other.schemas = dict(self.schemas)
         return other
 
+    def restore(self, snapshot: Catalog) -> None:
+        self.schemas.clear()
+        self.schemas.update(snapshot.schemas)
+
     def create(self, path: str, page_size: int | None = None) -> None:
         """Creates a schema and its parents; an existing one stays as it is."""
         parts = path.strip(":").split(":")

@@ -181,6 +181,10 @@ def test_transactions(engine):
     assert len(text(engine, "SELECT PersonID FROM ERP:Person")) == 5
     engine.execute("BEGIN TRANSACTION DELETE FROM ERP:Person WHERE PersonID = 1 COMMIT TRANSACTION")
     assert len(text(engine, "SELECT PersonID FROM ERP:Person")) == 4
+    other = engine.session("admin")
+    engine.execute("BEGIN TRANSACTION DELETE FROM ERP:Person")
+    engine.close()
+    assert len(text(other, "SELECT PersonID FROM ERP:Person")) == 4
     for bad in ("COMMIT TRANSACTION", "ROLLBACK TRANSACTION"):
         with pytest.raises(DialectError):
             engine.execute(bad)
@@ -203,6 +207,8 @@ def test_session_statements_and_system_functions(engine):
     assert text(engine, "DECLARE @x = '5' SELECT @x + 1 AS v FROM Single") == [("6",)]
     engine.execute("SET WarnMissingFields true")
     assert engine.execute("SELECT nope FROM ERP:Person")[0].warnings == ["field 'nope' was not found"]
+    engine.execute("SET WarnNullPropagation true")
+    assert engine.execute("SELECT FirstName, null + PersonID AS v, PersonID + 1 FROM ERP:Person")[0].warnings == ["'v' is null in 5 rows, as an operand is"]
     assert engine.execute("EXEC Print('hello')")[0].messages == ["hello"]
     assert len(text(engine, "EXEC ShowScalarFunctions()")) == 52 and len(text(engine, "EXEC ShowAggregateFunctions()")) == 16 and len(text(engine, "EXEC ShowSystemFunctions()")) == 24
     for name in ("ShowBlocks", "ShowBlockTree", "ShowLocks", "ShowWaitingLocks", "ShowMemoryUtilization", "ShowProcesses", "ShowThreadPools", "ShowTransactions", "ShowHealthCounters", "RefreshMyRoles"):
