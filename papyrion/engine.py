@@ -314,9 +314,19 @@ class Engine:
         if len({n.lower() for n in output.names}) < len(output.names):
             raise DialectError("a field is selected twice into a schema")
         self.catalog.create(path)
-        affected = output.frame.count() if self.catalog.exists(path) else 0
-        self._store(path, changes.appended(self.catalog.frame(path), output.frame), any(_is_volatile(getattr(f, "value", None)) for f in select.fields))
-        return QueryResult(affected=affected, warnings=self._warnings(output))
+        rows = self._written(path, output.frame)
+        self._store(path, changes.appended(self.catalog.frame(path), rows))
+        return QueryResult(affected=rows.count(), warnings=self._warnings(output))
+
+    def _written(self, path: str, rows: DataFrame) -> DataFrame:
+        """Rows computed once: to the storage folder, or to a checkpoint. Counting them is then cheap."""
+        if not self.storage:
+            return settle(rows)
+        nulls = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NullType)]
+        rows = rows.withColumns({n: F.col(f"`{n}`").cast("string") for n in nulls}) if nulls else rows
+        folder = f"{self.storage}/{normal(path).replace(':', '/')}/__rows_{time.time_ns()}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
 
     def _warnings(self, output: Output) -> list[str]:
         return [f"field {m!r} was not found" for m in output.missing] if self.settings.get("warnmissingfields") else []
@@ -337,7 +347,7 @@ class Engine:
             self._permit("read", *(s.path for s in insert.select.sources))
         rows = changes.inserted(self.catalog, insert, self.variables, self.document)
         volatile = any(_is_volatile(v) for row in insert.rows or [] for _, v in row) or insert.select is not None
-        rows = settle(rows) if volatile else rows
+        rows = self._written(path, rows) if volatile else rows
         self.catalog.create(path)
         self._store(path, changes.appended(self.catalog.frame(path), rows))
         return QueryResult(affected=len(insert.rows) if insert.rows is not None else rows.count())

@@ -268,6 +268,8 @@ def test_storage_folder(spark, tmp_path):
     e = Engine(spark, storage=str(tmp_path))
     e.execute("INSERT INTO A:B (x) VALUES (1), (2) DELETE FROM A:B WHERE x = 1")
     assert rows(e.sql("SELECT x FROM A:B")) == [(2,)] and list((tmp_path / "a" / "b").iterdir())
+    assert e.execute_non_query("SELECT x, null AS y INTO C FROM A:B INSERT INTO C (x) SELECT x FROM A:B") == 2
+    assert rows(e.sql("SELECT x, y FROM C")) == [(2, None), (2, None)]
 
 
 def test_many_changes_keep_the_lineage_short(spark):
