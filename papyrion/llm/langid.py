@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.llm.subtitles import TAG, advert_marks, cue_bodies, kind_of, repair, spoken_lines
@@ -288,3 +288,16 @@ def wrong_labels(found: DataFrame) -> DataFrame:
     """
     right = (F.col("languages") == 1) & F.coalesce(F.lower(F.substring("label", 1, 2)) == F.col("lang"), F.lit(False))
     return found.where(~right).select("doc_id", "lang").distinct()
+
+
+def document_languages(found: DataFrame) -> DataFrame:
+    """(`doc_id`, `lang`, `cues`, `confidence`, `main`, `label_right`): one row per language of each document of `stretches`.
+
+    `cues` is the number of spoken cues in its stretches, `confidence` their mean weighted by cues, `main`
+    marks the language with most cues (the first by code among equals).
+    """
+    cues = F.col("last_cue") - F.col("first_cue") + 1
+    label = F.coalesce((F.max("languages") == 1) & (F.lower(F.substring(F.max("label"), 1, 2)) == F.col("lang")), F.lit(False))
+    each = found.groupBy("doc_id", "lang").agg(F.sum(cues).alias("cues"), (F.sum(cues * F.col("confidence")) / F.sum(cues)).alias("confidence"), label.alias("label_right"))
+    first = Window.partitionBy("doc_id").orderBy(F.desc("cues"), "lang")  # a document has few languages
+    return each.select("doc_id", "lang", "cues", "confidence", (F.row_number().over(first) == 1).alias("main"), "label_right")

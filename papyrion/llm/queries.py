@@ -62,7 +62,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), LEANS)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_stretches)}
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(_stretches(spark, d)).withColumn("confidence", F.round("confidence", 4))
+
+
+def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("groupid").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_group_sizes, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_stretches, p9_documents)}
 
 def _skeleton_sql() -> str:
     """`lookalike.skeleton` as SQL over the column text."""
@@ -81,3 +89,4 @@ SQL: dict[str, str] = {
     "p2_canonical": f"WITH {_VALUES}, classes AS (SELECT languageid, k, arg_min(text, (s <> text, length(text), text)) AS canonical, count(*) AS n_texts FROM keyed GROUP BY ALL) SELECT languageid, text, canonical, n_texts FROM keyed JOIN classes USING (languageid, k)",
     "p3_found": f"WITH RECURSIVE {_LINKS}, groups_(id, g) USING KEY (id) AS (SELECT a, a FROM both_ways UNION (SELECT e.b, min(x.g) FROM groups_ x JOIN both_ways e ON e.a = x.id JOIN recurring.groups_ y ON y.id = e.b WHERE x.g < y.g GROUP BY e.b)) SELECT id AS wordid, g AS groupid FROM groups_",
 }
+SQL["p3_group_sizes"] = f"SELECT groupid, count(*) AS n_words FROM ({SQL['p3_found']}) GROUP BY groupid"

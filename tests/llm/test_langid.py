@@ -37,6 +37,12 @@ def test_mixed_documents_and_stretches(spark, profiles):
     assert rows(langid.wrong_labels(run(spark, profiles, [(both, "en")]))) == [(0, "en"), (0, "es")]
 
 
+def test_languages_of_documents(spark, profiles):
+    data = [(srt(*SPEECH["en"], *SPEECH["de"], *SPEECH["de"]), "en"), (srt(*SPEECH["es"]), "es-MX")]
+    got = rows(langid.document_languages(run(spark, profiles, data)).select("doc_id", "lang", "cues", "main", "label_right"))
+    assert got == [(0, "de", 10, True, False), (0, "en", 5, False, False), (1, "es", 5, True, True)]
+
+
 def test_four_cues_are_too_few_and_sounds_are_passed_over(spark, profiles):
     four = srt(*SPEECH["en"], *SPEECH["de"][:4], *SPEECH["en"])
     assert {r["lang"] for r in run(spark, profiles, [(four, "en")]).collect()} == {"en"}
