@@ -4,7 +4,8 @@ Every field of every document becomes a cell of a tagged union: its kind (whole,
 text, other, null) and its value. Files' schemas are the fused kinds per field path, inferred in
 parallel by a partial aggregation that moves one small state per (file, field) and task. Changes are
 read from those schemas alone; only for files in which a field leaves and another arrives are the
-cells of just these fields compared, by an equality join on (file, document, value).
+cells of just these fields compared, by an equality join on (file, document, value). What says which
+files and fields these are is metadata; it is broadcast to the scan if it has few rows, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrion.stable import settle
+from papyrion.stable import if_small, settle
 
 KINDS = ("whole", "fraction", "truth", "text", "other")
 
@@ -90,13 +91,13 @@ def changes(documents: DataFrame, carried: float = 0.5) -> DataFrame:
     both = settle(now.withColumn("is", F.lit(True)).join(before, ["schemapath", "fileseq", "field"], "full"))
     arrived = both.where("was IS NULL").select("schemapath", "fileseq", F.col("field").alias("newfield"))
     left = both.where("`is` IS NULL").select("schemapath", "fileseq", F.col("field").alias("oldfield"))
-    mixed = arrived.select("schemapath", "fileseq").distinct().join(left.select("schemapath", "fileseq").distinct(), ["schemapath", "fileseq"])
+    mixed = if_small(settle(arrived.select("schemapath", "fileseq").distinct().join(left.select("schemapath", "fileseq").distinct(), ["schemapath", "fileseq"])))
 
     all_cells = cells(documents).where("kind IS NOT NULL AND docpointer IS NOT NULL").select("schemapath", "fileseq", "docpointer", "field", _comparable("value").alias("value"))
     wanted_old = left.join(mixed, ["schemapath", "fileseq"], "left_semi").select("schemapath", (F.col("fileseq") - 1).alias("fileseq"), F.col("oldfield").alias("field"), F.lit("old").alias("side"))
     wanted_new = arrived.join(mixed, ["schemapath", "fileseq"], "left_semi").select("schemapath", "fileseq", F.col("newfield").alias("field"), F.lit("new").alias("side"))
-    moved = all_cells.join(wanted_old.unionByName(wanted_new), ["schemapath", "fileseq", "field"]).distinct()
-    moved = settle(moved)
+    wanted = if_small(settle(wanted_old.unionByName(wanted_new)))
+    moved = settle(all_cells.join(wanted, ["schemapath", "fileseq", "field"]).distinct())
     shared = settle(_documents_in_both(documents, mixed))
     old = moved.where("side = 'old'").select("schemapath", after.alias("fileseq"), "docpointer", F.col("field").alias("oldfield"), "value").join(shared, ["schemapath", "fileseq", "docpointer"], "left_semi")
     new = moved.where("side = 'new'").select("schemapath", "fileseq", "docpointer", F.col("field").alias("newfield"), "value")

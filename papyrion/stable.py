@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -30,3 +31,8 @@ def settle(df: DataFrame) -> DataFrame:
     """`df`, computed once and written to the checkpoint folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df`, to be broadcast if it has at most `most` rows (of a few short columns); else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
