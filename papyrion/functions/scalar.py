@@ -190,7 +190,7 @@ def _to_numeric(value):
 
 # -- dates
 
-
+# Names of intervals.
 UNITS = {
     "dayofyear": "dayofyear", "year": "year", "yy": "year", "yyyy": "year", "quarter": "quarter", "qq": "quarter", "q": "quarter", "month": "month", "mm": "month", "m": "month", "weekday": "weekday", "dw": "weekday",
     "week": "week", "ww": "week", "wk": "week", "day": "day", "dy": "day", "hour": "hour", "hh": "hour", "minute": "minute", "mi": "minute", "second": "second", "s": "second", "millisecond": "millisecond", "ms": "millisecond",

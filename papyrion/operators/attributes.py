@@ -73,14 +73,17 @@ def read_date(text: Column) -> Column:
 READERS = {"bigint": read_bigint, "double": read_double, "boolean": read_boolean, "date": read_date, "string": bare}
 
 
-def declared(types: DataFrame) -> list[tuple[str, str, list[str]]]:
+def declared(types: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[str]]]:
     """(attribute, type, schemapaths) of the declarations, in order of name and type.
 
     Names are compared without case and blanks around, rows without a name, schemapath or known type
-    declare nothing. The list is metadata: one entry per declared column.
+    declare nothing. The list is metadata, one entry per declared column; more than `most` raise an error.
     """
     rows = types.select("schemapath", F.lower(bare(F.col("elementname"))).alias("name"), F.lower(bare(F.col("typename"))).alias("type")).where(F.col("type").isin(*READERS)).groupBy("name", "type").agg(F.sort_array(F.collect_set("schemapath")).alias("paths"))
-    return sorted((r["name"], r["type"], list(r["paths"])) for r in rows.where("name IS NOT NULL AND size(paths) > 0").collect())
+    found = rows.where("name IS NOT NULL AND size(paths) > 0").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} attributes are declared")
+    return sorted((r["name"], r["type"], list(r["paths"])) for r in found)
 
 
 def column_names(attributes: list[tuple[str, str, list[str]]]) -> list[str]:
