@@ -2,8 +2,9 @@
 
 Texts are mapped to a skeleton by two built-in expressions (characters one to one, ligatures one to
 many) and grouped under Spark's accent-sensitive, case-sensitive Unicode collation, which equates
-joined with separate accents. Of each class one member is chosen and joined back. Everything runs in the
-JVM; what is grouped are the different texts, so a text repeated a million times counts once.
+joined with separate accents. Of each class one member is chosen, and joined back to the others
+where there are others. Everything runs in the JVM; what is grouped are the different texts, so a text
+repeated a million times counts once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.stable import if_small, settle
+
 # Letters of Cyrillic, Greek and other blocks with the shape of a Latin letter.
 SAME_SHAPE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -83,10 +86,13 @@ def canonical_texts(df: DataFrame, text: str, within: str) -> DataFrame:
     rank = F.struct((F.col("__s") != F.col("__t")).alias("changed"), F.char_length("__t").alias("length"), F.col("__t").alias("text"))
     keyed = values.withColumn("__k", F.collate("__s", "UNICODE"))
     classes = keyed.groupBy("__g", "__k").agg(F.min(rank)["text"].alias("canonical"), F.count(F.lit(1)).alias("n_texts"))
-    return keyed.join(classes, ["__g", "__k"]).select(F.col("__g").alias(within), F.col("__t").alias(text), "canonical", "n_texts")
+    alone = classes.where("n_texts = 1").select(F.col("__g").alias(within), F.col("canonical").alias(text), "canonical", F.lit(1).cast("bigint").alias("n_texts"))
+    shared = if_small(settle(classes.where("n_texts > 1")))
+    members = keyed.join(shared, ["__g", "__k"]).select(F.col("__g").alias(within), F.col("__t").alias(text), "canonical", "n_texts")
+    return alone.unionByName(members)
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str, within: str, settle) -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str, text: str, within: str) -> DataFrame:
     """(`wordid_a`, `wordid_b`), a < b: different non-null ids whose texts look the same but differ in characters.
 
     Only texts of classes with several different texts are carried to the rows; pairs are made by an

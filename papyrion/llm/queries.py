@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from papyrion.llm import components, langid, leakage, lookalike, mixture
 from papyrion.sources.tables import table
-from papyrion.stable import settle
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.look_alike_pairs(table(spark, d, "wl_word"), "id", "text", "languageid", settle)
+    return lookalike.look_alike_pairs(table(spark, d, "wl_word"), "id", "text", "languageid")
 
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,4 @@
 from papyrion.llm.lookalike import canonical_texts, look_alike_pairs
-from papyrion.stable import settle
 from tests.conftest import rows
 
 SCHEMA = "id bigint, text string, languageid int, canonical string, n_texts int, wordid_a int, `__t` string"
@@ -10,7 +9,7 @@ def words(spark, data):
 
 
 def pairs(spark, data):
-    return rows(look_alike_pairs(words(spark, data), "id", "text", "languageid", settle))
+    return rows(look_alike_pairs(words(spark, data), "id", "text", "languageid"))
 
 
 def test_every_kind_of_look_alike(spark):
