@@ -100,7 +100,10 @@ def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndar
 def fit(samples: dict[str, list[str]], size: int = 1500) -> Profiles:
     """Profiles of `size` n-grams from texts per language."""
     languages = sorted(samples)
-    common = Counter(ch for texts in samples.values() for t in texts for ch in _plain(t))
+    common: Counter = Counter()
+    for texts in samples.values():
+        for t in texts:
+            common.update(_plain(t))
     letters = {ch: i for i, (ch, _) in enumerate(sorted(((c, n) for c, n in common.items() if not c.isspace() and ord(c) < 0x10000), key=lambda x: (-x[1], x[0]))[: _TOP - 3], start=2)}
     codes = np.zeros(0x10000, np.uint8)
     for ch, i in letters.items():
