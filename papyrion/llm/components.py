@@ -46,14 +46,14 @@ class _Forest:
             self.parent[a] = b
 
 
-def _spell(forest: _Forest) -> Iterator[pa.RecordBatch]:
-    ids = list(forest.parent)
+def _spell(forest: _Forest, selfs: bool) -> Iterator[pa.RecordBatch]:
+    ids = [x for x, up in forest.parent.items() if selfs or x != up]
     for i in range(0, len(ids), 100_000):
         part = ids[i : i + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array([forest.root(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, selfs: bool) -> Iterator[pa.RecordBatch]:
     """Spanning forests of a partition's links; one that has grown to `most` records is given out and a new one begun."""
     forest = _Forest()
     for batch in batches:
@@ -63,23 +63,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             for x, y in pairs.tolist():
                 forest.link(x, y)
         if len(forest.parent) >= most:
-            yield from _spell(forest)
+            yield from _spell(forest, selfs)
             forest = _Forest()
-    yield from _spell(forest)
+    yield from _spell(forest, selfs)
 
 
-def _spanning(links: DataFrame, most: int) -> DataFrame:
-    """Links (root, record) that connect what the links of each partition connect, and (record, record) for roots."""
-    return links.mapInArrow(lambda batches: _pieces(batches, most), _LINKS)
+def _spanning(links: DataFrame, most: int, selfs: bool) -> DataFrame:
+    """Links (root, record) that connect what the links of each partition connect; with `selfs` (root, root) too."""
+    return links.mapInArrow(lambda batches: _pieces(batches, most, selfs), _LINKS)
 
 
 def _contract(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(records with the record they join, the links between those)."""
+    """(records with the record they join, the links between different ones of those)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rank = F.xxhash64("b", F.lit(seed))
     joins = settle(both.unionByName(links.select("a", F.col("a").alias("b"))).unionByName(links.select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("record")).agg(F.min(F.struct(rank.alias("rank"), F.col("b").alias("into")))["into"].alias("into")))
     moved = links.join(joins.select(F.col("record").alias("a"), F.col("into").alias("x")), "a").join(joins.select(F.col("record").alias("b"), F.col("into").alias("y")), "b")
-    return joins, moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return joins, moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
 def groups(links: DataFrame, a: str, b: str, bound: int = 1_500_000, fan_in: int = 4) -> DataFrame:
@@ -90,24 +90,25 @@ def groups(links: DataFrame, a: str, b: str, bound: int = 1_500_000, fan_in: int
     Links with a null id count for nothing; an empty table gives no rows.
     """
     plain = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
-    forest = settle(_spanning(plain, bound))
     rounds: list[DataFrame] = []
-    count, parts = forest.count(), max(1, forest.rdd.getNumPartitions())
-    while parts > 1:
-        fewest = -(-count // bound)
-        merged = max(1, fewest, -(-parts // fan_in))
-        if merged >= parts:  # the records alone exceed the bound
-            joins, forest = _contract(forest, len(rounds))
+    forest = settle(_spanning(plain, bound, True))
+    count = forest.count()
+    parts = max(2, forest.rdd.getNumPartitions(), -(-count // bound))
+    while count > bound:
+        merged = max(-(-count // bound), -(-parts // fan_in))
+        if merged < parts:
+            parts = merged
+            forest = settle(_spanning(forest.repartition(parts), 2 * bound, not rounds))
+        else:  # the records alone exceed the bound
+            joins, links = _contract(forest, len(rounds))
             rounds.append(joins)
-            forest = settle(_spanning(forest.repartition(parts), bound))
-        else:
-            forest = settle(_spanning(forest.repartition(merged), 2 * bound))
-        parts = merged if merged < parts else parts
+            forest = settle(_spanning(links.repartition(parts), bound, False))
         count = forest.count()
+    forest = settle(_spanning(forest.repartition(1), 2 * bound + 1, not rounds))  # at most `bound` links
     labels = forest.select(F.col("b").alias("wordid"), F.col("a").alias("groupid"))
     if rounds:
-        for joins in reversed(rounds):
-            labels = joins.select(F.col("record").alias("wordid"), "into").join(labels.select(F.col("wordid").alias("into"), "groupid"), "into").select("wordid", "groupid")
+        for joins in reversed(rounds):  # records without links left are groups of their own
+            labels = joins.select(F.col("record").alias("wordid"), "into").join(labels.select(F.col("wordid").alias("into"), "groupid"), "into", "left").select("wordid", F.coalesce("groupid", "into").alias("groupid"))
         least = labels.groupBy("groupid").agg(F.min("wordid").alias("least"))
         labels = labels.join(least, "groupid").select("wordid", F.col("least").alias("groupid"))
     return labels

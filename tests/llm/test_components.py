@@ -39,6 +39,13 @@ def test_a_long_chain_beyond_the_bound_of_a_partition(spark):
     assert run(spark, pairs, bound=60) == brute(pairs)
 
 
+def test_more_groups_than_a_partition_may_hold(spark):
+    pairs = [(2 * i, 2 * i + 1) for i in range(150)] + [(1000 + i, 1000 + i) for i in range(50)]
+    assert run(spark, pairs, bound=20) == brute(pairs)
+    one = spark.createDataFrame(pairs, "a bigint, b bigint").coalesce(1)
+    assert sorted(tuple(r) for r in groups(one, "a", "b", bound=20).collect()) == brute(pairs)
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60), st.sampled_from([8, 1000]))
 def test_against_brute_force(spark, pairs, bound):
