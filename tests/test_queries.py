@@ -56,3 +56,17 @@ print("rows", p5_found(spark, {FOLDER!r}).count())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_without_the_packages_of_the_text_queries():
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r}); sys.modules["ahocorasick"] = None
+import __spark_entry__
+names = set(__spark_entry__.queries())
+assert "p1_found" in names and "p7_found" not in names, names
+assert set(__spark_entry__.oracle_sql()) <= names
+print("kept", len(names))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert f"kept {len(QUERIES)}" in done.stdout, done.stderr[-2000:]
