@@ -1,27 +1,37 @@
-"""References to records that do not exist, found with bitmaps.
-
-Keys are coded as integers (an integer key is its own code; other keys, and integers too scattered for
-bitmaps, get codes from a sorted dictionary). A code's upper part names its range of 32,768 codes, the
-lower part its bit. Each (reference field, range, month) becomes one bitmap, and so does each (parent,
-range, month of first appearance). Per range, the references of a month AND NOT the parents known
-before that month leave the suspects, which alone are decoded and judged exactly. Shuffled are the
-bitmaps, nearly all zeros and compressed by the shuffle's codec, not the rows; one group holds the
-bitmaps of one range, (fields + 1) x months x 4 KB, however many rows refer to it.
+"""References to records that do not exist, found with compressed bitmaps.
+
+Every task folds its rows into the different (key, day) per reference field and key range and packs them
+to a few bytes each; only these sets are shuffled, never the rows. Ranges are cut at quantiles of the parents'
+keys, so that they hold equally many, however scattered. Where the sets of one range meet, keys are
+coded by a sorted dictionary; the codes of each (reference field, day) form a bitmap, from which the
+bitmap of the parents known before that day is taken away (AND NOT). What survives is decoded: keys that
+no parent has, and keys whose parent came that day or later. A blocked Bloom filter of the survivors, of
+bounded size, is tested where references are scanned a second time; the few rows that pass meet the
+survivors in a join and are judged exactly, by time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.operators import bitmaps
 from papyrion.stable import settle
 
-#: Month number of rows without a time: never late, so all parents are known.
-_NO_MONTH = 1_000_000
+#: Keys of a parent to a range, on average, as long as there are no more than MOST_RANGES.
+RANGE, MOST_RANGES = 32_768, 1_024
+#: Rows a task folds at once, which bounds its memory.
+FOLDED = 2_000_000
+#: Bits of the filter per survivor, and the most it may have (64 MB); beyond, more rows pass it and none is lost.
+BITS, MOST_BITS = 16, 1 << 29
+_DAY = 86_400_000_000
+_NEVER = np.iinfo(np.int64).max  # for references: no time, so all parents are known
+_PARENT, _LOG = -1, -2
 
 
 @dataclass(frozen=True)
@@ -37,101 +47,141 @@ class Reference:
     created: str = "created"
 
 
-def _month(column: str) -> F.Column:
-    return F.year(column) * 12 + F.month(column)
+def _key(name: str) -> Column:
+    return F.col(name).cast("bigint")
 
 
-def _references(references: list[Reference]) -> DataFrame:
-    parts = [
-        r.frame.where(F.col(r.refkey).isNotNull()).select(
-            F.lit(i).alias("ref"), F.lit(r.parent).alias("parent"), F.col(r.rowkey).cast("bigint").alias("rowkey"), F.col(r.refkey).cast("bigint").alias("refkey"), F.col(r.created).alias("created"),
-            F.coalesce(_month(r.created), F.lit(_NO_MONTH)).alias("month"),
-        )
-        for i, r in enumerate(references)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def _bounds(parents: dict[str, tuple[DataFrame, str, str]]) -> dict[str, np.ndarray]:
+    """Per parent the keys at which its ranges are cut: at most MOST_RANGES numbers each reach the driver."""
+    grid = ", ".join(f"{i / MOST_RANGES!r}D" for i in range(1, MOST_RANGES))
+    keys = None
+    for name, (frame, key, _) in parents.items():
+        part = frame.where(F.col(key).isNotNull()).select(F.lit(name).alias("parent"), _key(key).alias("key"))
+        keys = part if keys is None else keys.unionByName(part)
+    out = {name: np.zeros(0, np.int64) for name in parents}
+    for row in keys.groupBy("parent").agg(F.count("key").alias("n"), F.expr(f"percentile_approx(key, array({grid}), {4 * MOST_RANGES})").alias("cuts")).collect():
+        cuts, ranges = np.array(row["cuts"], np.int64), min(MOST_RANGES, -(-row["n"] // RANGE))
+        out[row["parent"]] = np.unique(cuts[np.linspace(0, MOST_RANGES - 2, ranges + 1, dtype=int)[1:-1]])
     return out
 
 
-def _bitmaps(df: DataFrame, keys: list[str], code: str) -> DataFrame:
-    return df.groupBy(*keys, F.bitmap_bucket_number(code).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("bits"))
-
-
-def _unset(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
-    """References of one range AND NOT the parents of earlier months, decoded to codes."""
-    bucket = int(key[1])
-    months = parents["month"].to_numpy(np.int64)
-    order = np.argsort(months, kind="stable")
-    known, states, at = np.zeros(4096, np.uint8), [], []
-    for i in order:
-        known = known | np.frombuffer(parents["bits"].iloc[i], np.uint8)
-        states.append(known)
-        at.append(months[i])
-    rows = []
-    for ref, month, bits in zip(refs["ref"], refs["month"], refs["bits"]):
-        bits = np.frombuffer(bits, np.uint8)
-        before = int(np.searchsorted(at, month, side="left"))
-        if before:
-            bits = bits & ~states[before - 1]
-        found = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
-        if len(found):
-            codes = found + 1 + (bucket - 1) * 32768 if bucket > 0 else bucket * 32768 - found
-            rows.append(pd.DataFrame({"ref": ref, "month": month, "code": codes}))
-    if not rows:
-        return pd.DataFrame({"ref": [], "month": [], "code": []}).astype({"ref": "int32", "month": "int32", "code": "int64"})
-    return pd.concat(rows).astype({"ref": "int32", "month": "int32", "code": "int64"})
-
-
-def _dictionary(keys: DataFrame) -> DataFrame:
-    """(`parent`, `refkey`, `code`): dense codes by key order. Within a sorted partition neighbours get neighbouring codes."""
-    ordered = keys.distinct().repartitionByRange("parent", "refkey").sortWithinPartitions("parent", "refkey")
-    return settle(ordered.withColumn("code", F.monotonically_increasing_id() + 1))
-
-
-def orphans(references: list[Reference], parents: dict[str, tuple[DataFrame, str, str]], deleted: dict[str, tuple[DataFrame, str]], encode: bool | None = None) -> DataFrame:
+_PACKED = "parent int, range int, side int, packed binary"
+
+
+def _packed(frame: DataFrame, key: str, created: str | None, parent: int, side: int, cuts: np.ndarray) -> DataFrame:
+    """The rows' different (key, day), or (key, first time) of parents, per range: one packed set per task and range."""
+
+    def flush(keys: list[np.ndarray], times: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        all_keys, all_times = np.concatenate(keys), np.concatenate(times)
+        known, values = bitmaps.least(all_keys, all_times) if side < 0 else bitmaps.distinct(all_keys, np.where(all_times == _NEVER, _NEVER, all_times // _DAY))
+        edges = [0, *np.searchsorted(known, cuts, side="right").tolist(), len(known)]
+        sets = [(i, bitmaps.pack(known[a:b], values[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        n = len(sets)
+        yield pa.RecordBatch.from_arrays([pa.array([parent] * n, pa.int32()), pa.array([i for i, _ in sets], pa.int32()), pa.array([side] * n, pa.int32()), pa.array([p for _, p in sets], pa.binary())], names=["parent", "range", "side", "packed"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, n = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            times.append(batch.column(1).cast(pa.int64()).fill_null(_NEVER).to_numpy())
+            n += batch.num_rows
+            if n >= FOLDED:
+                yield from flush(keys, times)
+                keys, times, n = [], [], 0
+        if n:
+            yield from flush(keys, times)
+
+    time = F.col(created) if created else F.lit(None)
+    return frame.where(F.col(key).isNotNull()).select(_key(key).alias("key"), time.cast("timestamp_ntz").alias("time")).mapInArrow(fold, _PACKED)
+
+
+_SURVIVORS = "ref int, refkey bigint, first timestamp_ntz, reason string"
+
+
+def _survivors(group: pa.Table) -> pa.Table:
+    """Of one key range: the keys with references that no parent known before their day answers."""
+    sides: dict[int, list] = {}
+    for side, packed in zip(group.column("side").to_pylist(), group.column("packed").to_pylist()):
+        sides.setdefault(side, []).append(bitmaps.unpack(packed))
+    sets = {side: tuple(map(np.concatenate, zip(*parts))) for side, parts in sides.items()}
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parents, first = bitmaps.least(*sets.pop(_PARENT, nothing))
+    deleted = sets.pop(_LOG, nothing)[0]
+    dictionary = np.unique(np.concatenate([parents, *(keys for keys, _ in sets.values())]))
+    size = len(dictionary)
+    codes_of_parents = np.searchsorted(dictionary, parents)
+    timeless = first == _NEVER  # parents without a time are always known
+    since = np.where(timeless, np.iinfo(np.int64).min, first // _DAY)
+    by_day = np.argsort(since, kind="stable")
+    appeared, coming = since[by_day], codes_of_parents[by_day]
+    out = []
+    for ref, (keys, days) in sorted(sets.items()):
+        order = np.lexsort((keys, days))
+        days, codes = days[order], np.searchsorted(dictionary, keys[order])
+        starts = np.flatnonzero(np.r_[True, days[1:] != days[:-1]])
+        known, done, kept = bitmaps.bitset(codes_of_parents[:0], size), 0, []
+        for a, b in zip(starts, [*starts[1:], len(days)]):
+            upto = int(np.searchsorted(appeared, days[a], side="left"))
+            if upto > done:
+                known |= bitmaps.bitset(coming[done:upto], size)
+                done = upto
+            kept.append(bitmaps.and_not(bitmaps.container(codes[a:b], size), known))
+        left = dictionary[np.unique(np.concatenate(kept))]
+        at = np.minimum(np.searchsorted(parents, left), max(len(parents) - 1, 0))
+        there = parents[at] == left if len(parents) else np.zeros(len(left), bool)
+        when = first[at] if len(parents) else np.zeros(len(left), np.int64)
+        reason = np.where(there, "late", np.where(np.isin(left, deleted), "deleted", "missing"))
+        keep = ~(there & (when == _NEVER))
+        out.append(pa.table([pa.array(np.full(keep.sum(), ref), pa.int32()), pa.array(left[keep], pa.int64()), pa.array(when[keep], pa.int64(), mask=~there[keep]).cast(pa.timestamp("us")), pa.array(reason[keep].tolist(), pa.string())], names=["ref", "refkey", "first", "reason"]))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.timestamp("us"), pa.string())], names=["ref", "refkey", "first", "reason"])
+
+
+def _places(blocks: int, ref: Column, refkey: Column) -> tuple[Column, Column, Column]:
+    """(block, first bit, second bit) of a key in the filter; the numbers are powers of two."""
+    one, two = F.xxhash64(refkey, ref), F.xxhash64(refkey, ref, F.lit(1))
+    low = lambda c, n: c.bitwiseAND(F.lit(n - 1).cast("bigint")).cast("int")
+    return low(one, blocks), low(two, 32_768), low(F.shiftright(two, 20), 32_768)
+
+
+def _filter(survivors: DataFrame) -> tuple[DataFrame, int]:
+    """(blocks of 32,768 bits as 512 numbers each, their number): at most MOST_BITS in all."""
+    wanted = max(32_768, BITS * survivors.count())
+    blocks = min(MOST_BITS, 1 << (wanted - 1).bit_length()) // 32_768
+    block, one, two = _places(blocks, F.col("ref"), F.col("refkey"))
+    bits = survivors.select(block.alias("block"), F.explode(F.array(one, two)).alias("bit"))
+    words = bits.groupBy("block", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
+    held = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))  # 512 words a block at most
+    return held.select("block", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("bigint"))).alias("words")), blocks
+
+
+def orphans(references: list[Reference], parents: dict[str, tuple[DataFrame, str, str]], deleted: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(`tablename`, `fieldname`, `rowkey`, `refkey`, `reason`, `refmonth`), no row twice, for each failing reference.
 
     `parents` maps a name to (records, key, time of creation), `deleted` to (log, key). A reference is
     `missing` if no record has its key and the log neither, `deleted` if only the log has it, `late`
     if the earliest record is younger than the referring row. Null references are none. A referring
-    row without a time is never late (its refmonth is null), nor is a parent without one. `encode`
-    forces or forbids the dictionary; by default it is used where ranges would hold under 64 keys.
-    Empty tables give no rows, a missing parent table counts as empty.
+    row without a time is never late (its refmonth is null), nor is a parent without one. Empty tables
+    give no rows, a missing parent table counts as empty. Building the plan runs the jobs that
+    find the surviving keys; the rows are found lazily.
     """
-    spark = references[0].frame.sparkSession
-    refs = _references(references)
-    known = None
-    for name, (frame, key, created) in parents.items():
-        part = frame.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("refkey")).agg(F.min(created).alias("first")).select(F.lit(name).alias("parent"), "refkey", "first")
-        known = part if known is None else known.unionByName(part)
-    known = known.withColumn("month", F.coalesce(_month("first"), F.lit(0)))
-    gone = None
-    for name, (frame, key) in deleted.items():
-        part = frame.where(F.col(key).isNotNull()).select(F.lit(name).alias("parent"), F.col(key).cast("bigint").alias("refkey")).distinct()
-        gone = part if gone is None else gone.unionByName(part)
-    if gone is None:
-        gone = spark.createDataFrame([], "parent string, refkey bigint")
-    gone = gone.withColumn("logged", F.lit(True))
-
-    if encode is None:
-        ranges = known.groupBy("parent", F.bitmap_bucket_number("refkey").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count("n")).first()
-        encode = bool(ranges[0]) and ranges[0] < 64 * ranges[1] and ranges[1] > 1000
-    if encode:
-        codes = _dictionary(refs.select("parent", "refkey").unionByName(known.select("parent", "refkey")))
-        coded_refs, coded_known = refs.join(codes, ["parent", "refkey"]), known.join(codes, ["parent", "refkey"])
-    else:
-        coded_refs, coded_known = refs.withColumn("code", F.col("refkey")), known.withColumn("code", F.col("refkey"))
-
-    of_refs = _bitmaps(coded_refs, ["parent", "ref", "month"], "code")
-    of_known = _bitmaps(coded_known, ["parent", "month"], "code")
-    suspects = of_refs.groupBy("parent", "bucket").cogroup(of_known.groupBy("parent", "bucket")).applyInPandas(_unset, "ref int, month int, code bigint")
-    names = spark.createDataFrame([(i, r.tablename, r.fieldname, r.parent) for i, r in enumerate(references)], "ref int, tablename string, fieldname string, parent string")
-    suspects = suspects.join(F.broadcast(names), "ref")  # one row per reference field
-    suspects = suspects.join(codes, ["parent", "code"]).drop("code") if encode else suspects.withColumnRenamed("code", "refkey")
-    there = known.drop("month").withColumn("there", F.lit(True))
-    judged = suspects.join(there, ["parent", "refkey"], "left").join(gone, ["parent", "refkey"], "left")
-    judged = judged.select("ref", "tablename", "fieldname", "month", "refkey", "first", F.when(F.col("there"), "late").when(F.col("logged"), "deleted").otherwise("missing").alias("reason"))
-    failing = refs.drop("parent").join(judged, ["ref", "month", "refkey"]).where("reason <> 'late' OR first > created")
-    return failing.select("tablename", "fieldname", "rowkey", "refkey", "reason", F.date_format("created", "yyyy-MM").alias("refmonth")).distinct()
+    cuts = _bounds(parents)
+    names = {name: i for i, name in enumerate(parents)}
+    parts = [_packed(r.frame, r.refkey, r.created, names[r.parent], i, cuts[r.parent]) for i, r in enumerate(references)]
+    parts += [_packed(frame, key, created, names[name], _PARENT, cuts[name]) for name, (frame, key, created) in parents.items()]
+    parts += [_packed(frame, key, None, names[name], _LOG, cuts[name]) for name, (frame, key) in deleted.items()]
+    packed = parts[0]
+    for part in parts[1:]:
+        packed = packed.unionByName(part)
+    survivors = settle(packed.groupBy("parent", "range").applyInArrow(_survivors, _SURVIVORS))
+    blocks, n_blocks = _filter(survivors)
+
+    found = None
+    for i, r in enumerate(references):
+        rows = r.frame.where(F.col(r.refkey).isNotNull()).select(F.lit(i).alias("ref"), _key(r.rowkey).alias("rowkey"), _key(r.refkey).alias("refkey"), F.col(r.created).cast("timestamp_ntz").alias("created"))
+        found = rows if found is None else found.unionByName(rows)
+    block, one, two = _places(n_blocks, F.col("ref"), F.col("refkey"))
+    set_ = [F.expr(f"getbit(get(words, {p} >> 6), {p} & 63) = 1") for p in ("__one", "__two")]
+    passed = found.withColumns({"__block": block, "__one": one, "__two": two}).join(F.broadcast(blocks), F.col("__block") == F.col("block")).where(set_[0] & set_[1]).select(*found.columns)  # at most MOST_BITS
+    failing = passed.join(survivors.hint("merge"), ["ref", "refkey"]).where("reason <> 'late' OR first > created")
+    named = [F.element_at(F.array(*(F.lit(x) for x in names)), F.col("ref") + 1) for names in ([r.tablename for r in references], [r.fieldname for r in references])]
+    return failing.select(named[0].alias("tablename"), named[1].alias("fieldname"), "rowkey", "refkey", "reason", F.date_format("created", "yyyy-MM").alias("refmonth")).distinct()

@@ -33,6 +33,9 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """`df`, to be broadcast if it has at most `most` rows (of a few short columns); else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def if_small(df: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """`df` (settled before, as it is read once more), to be broadcast if its values take at most `most` bytes; else as it is."""
+    sizes = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(0) for f in df.schema.fields]
+    row = sum(sizes, F.lit(16 + 8 * len(sizes)))
+    held = df.select(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
