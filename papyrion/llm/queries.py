@@ -71,13 +71,18 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_group_sizes, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_stretches, p9_documents)}
 
+# What the word table holds of look-alikes, stated for SQL apart from the operator's own rules.
+_SHAPES = ("аеорсухѕіјһԁѵӏАВЕКМНОРСТУХЅІЈαιορυνΑΒΕΖΗΙΚΜΝΟΡΤΥΧɡ", "aeopcyxsijhdvlABEKMHOPCTYXSIJaiopuvABEZHIKMNOPTYXg")
+_ACCENTED = ("ёїѐёЁЇόάίύϊϋ", "ëïèëËÏóáíúïü")
+_INVISIBLE = "173, 847, 1564, 6158, 8203, 8204, 8205, 8206, 8207, 8234, 8235, 8236, 8237, 8238, 8288, 8289, 8290, 8291, 8292, 65279"
+
+
 def _skeleton_sql() -> str:
-    """`lookalike.skeleton` as SQL over the column text."""
-    from_, to, gone, ligatures = (x.replace("'", "''") if isinstance(x, str) else x for x in lookalike.character_map())
-    out = f"translate(text, '{from_ + gone}', '{to}')"
-    for ligature, letters in ligatures:
-        out = f"replace({out}, '{ligature}', '{letters}')"
-    return out
+    """A look-alike form of the column text as SQL over its characters: widths by arithmetic, spaces and invisible ones by number."""
+    one = f"""CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c)::INTEGER - 65248) WHEN unicode(c) IN (160, 5760, 8239, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' '
+      WHEN unicode(c) IN ({_INVISIBLE}) THEN '' WHEN c = 'ﬀ' THEN 'ff' WHEN c = 'ﬁ' THEN 'fi' WHEN c = 'ﬂ' THEN 'fl' WHEN c = 'ﬃ' THEN 'ffi' WHEN c = 'ﬄ' THEN 'ffl' WHEN c IN ('ﬅ', 'ﬆ') THEN 'st'
+      WHEN unicode(c) = 8490 THEN 'K' WHEN unicode(c) = 8491 THEN 'Å' ELSE translate(c, '{_SHAPES[0] + _ACCENTED[0]}', '{_SHAPES[1] + _ACCENTED[1]}') END"""
+    return f"list_aggregate(list_transform(string_split(text, ''), lambda c: {one}), 'string_agg', '')"
 
 
 _VALUES = f"""values_ AS (SELECT DISTINCT languageid, text, {_skeleton_sql()} AS s FROM wl_word WHERE languageid IS NOT NULL AND text IS NOT NULL), keyed AS (SELECT *, nfc_normalize(s) AS k FROM values_)"""

@@ -42,3 +42,15 @@ def test_canonical_member(spark):
 def test_empty_and_very_long(spark):
     assert pairs(spark, []) == []
     assert pairs(spark, [(1, "ab" * 100_000, 1), (2, "ab" * 99_999 + "аb", 1)]) == [(1, 2)]
+
+
+def test_letters_of_many_scripts_and_planes(spark):
+    same = ["ρ p", "α a", "ι i", "υ u", "ѵ v", "Ӏ I", "ո n", "օ o", "ս u", "Ꭺ A", "𝐚 a", "𝟗 9", "Ⅻ XII", "ǉ lj", "K K", "ᾶ ᾶ"]
+    data = [(10 * i + j, f"x{t}y", 1) for i, s in enumerate(same) for j, t in enumerate(s.split(" "))]
+    data += [(900, "x\U000e0061y", 2), (901, "xy", 2), (902, "z\u1f00", 3), (903, "z\u03b1\u0313", 3)]
+    assert {(a, b) for a, b in pairs(spark, data)} >= {(10 * i, 10 * i + 1) for i, s in enumerate(same) if s.split(" ")[0] != s.split(" ")[1]} | {(900, 901), (902, 903)}
+
+
+def test_many_rows_of_one_text_and_an_odd_one(spark):
+    data = [(i, "ab", 1) for i in range(20_000)] + [(99_999, "аb", 1)]
+    assert pairs(spark, data) == sorted(((i, 99_999) for i in range(20_000)), key=lambda r: tuple((True, str(x)) for x in r))
