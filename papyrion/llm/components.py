@@ -5,7 +5,8 @@ record less one. The forests are merged in fewer and fewer partitions, each of w
 `bound` links, until one partition remains. Where the records alone exceed the bound, merging cannot
 end that way: then one round of randomised contraction is taken in between (every record joins the
 neighbour of least random rank, links are rewritten between those), which lessens the records by a
-constant factor in expectation; labels are carried back through the rounds by joins.
+constant factor in expectation; labels are carried back through the rounds by joins. Records with so many links
+that they would fill a partition of such a join (a handful by their definition) are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -73,12 +74,32 @@ def _spanning(links: DataFrame, most: int, selfs: bool) -> DataFrame:
     return links.mapInArrow(lambda batches: _pieces(batches, most, selfs), _LINKS)
 
 
-def _contract(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(records with the record they join, the links between different ones of those)."""
+#: More records than this cannot be heavy, as each heavy one holds a larger part of the rows than one in so many.
+MOST_HEAVY = 10_000
+
+
+def _looked_up(left: DataFrame, right: DataFrame, key: str, most: int, how: str = "inner") -> DataFrame:
+    """`left` (settled) with the columns of `right` (settled), which has each `key` once.
+
+    Keys with more than `most` rows, and more than one in MOST_HEAVY of all, are found first by a count
+    folded per task; their rows stay where they are and get the few rows of `right` by broadcast.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    heavy = settle(counts.where(F.col("n") > max(most, left.count() // MOST_HEAVY)).select(key))
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(heavy)  # MOST_HEAVY keys at most
+    hot = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return left.join(few, key, "left_anti").join(right, key, how).unionByName(hot)
+
+
+def _contract(links: DataFrame, seed: int, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(records with the record they join, the links between different ones of those); `links` is settled."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rank = F.xxhash64("b", F.lit(seed))
     joins = settle(both.unionByName(links.select("a", F.col("a").alias("b"))).unionByName(links.select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("record")).agg(F.min(F.struct(rank.alias("rank"), F.col("b").alias("into")))["into"].alias("into")))
-    moved = links.join(joins.select(F.col("record").alias("a"), F.col("into").alias("x")), "a").join(joins.select(F.col("record").alias("b"), F.col("into").alias("y")), "b")
+    first = _looked_up(links, joins.select(F.col("record").alias("a"), F.col("into").alias("x")), "a", bound)
+    moved = first.join(joins.select(F.col("record").alias("b"), F.col("into").alias("y")), "b")  # a forest lists b once per piece
     return joins, moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
@@ -100,7 +121,7 @@ def groups(links: DataFrame, a: str, b: str, bound: int = 1_500_000, fan_in: int
             parts = merged
             forest = settle(_spanning(forest.repartition(parts), 2 * bound, not rounds))
         else:  # the records alone exceed the bound
-            joins, links = _contract(forest, len(rounds))
+            joins, links = _contract(forest, len(rounds), bound)
             rounds.append(joins)
             forest = settle(_spanning(links.repartition(parts), bound, False))
         count = forest.count()
@@ -108,7 +129,9 @@ def groups(links: DataFrame, a: str, b: str, bound: int = 1_500_000, fan_in: int
     labels = forest.select(F.col("b").alias("wordid"), F.col("a").alias("groupid"))
     if rounds:
         for joins in reversed(rounds):  # records without links left are groups of their own
-            labels = joins.select(F.col("record").alias("wordid"), "into").join(labels.select(F.col("wordid").alias("into"), "groupid"), "into", "left").select("wordid", F.coalesce("groupid", "into").alias("groupid"))
-        least = labels.groupBy("groupid").agg(F.min("wordid").alias("least"))
-        labels = labels.join(least, "groupid").select("wordid", F.col("least").alias("groupid"))
+            found = _looked_up(joins, settle(labels.select(F.col("wordid").alias("into"), "groupid")), "into", bound, "left")
+            labels = found.select(F.col("record").alias("wordid"), F.coalesce("groupid", "into").alias("groupid"))
+        labels = settle(labels)
+        least = settle(labels.groupBy("groupid").agg(F.min("wordid").alias("least")))
+        labels = _looked_up(labels, least, "groupid", bound).select("wordid", F.col("least").alias("groupid"))
     return labels

@@ -56,3 +56,8 @@ def test_heavy_source(spark):
     pairs = [(0, i) for i in range(1, 2000)] + [(5000, 5001)]
     got = rows(groups(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b"))
     assert len(got) == 2002 and {g for _, g in got} == {0, 5000}
+
+
+def test_a_hub_beyond_the_bound_of_a_partition(spark):
+    pairs = [(0, i) for i in range(1, 400)] + [(5000 + i, 5001 + i) for i in range(0, 90, 2)] + [(399, 7000)]
+    assert run(spark, pairs, bound=30) == brute(pairs)
