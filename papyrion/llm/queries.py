@@ -49,16 +49,16 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-#: Sources whose weight grows (above 0) or falls over the training; the others balance them.
-LEANS = {"lecture_caps": 0.6, "festival_set": 0.5, "stream_dump": -0.5}
+#: Sources whose weight changes over the training; all others keep theirs.
+SCHEDULES = {"lecture_caps": [(0.0, 0.4), (1.0, 1.6)], "festival_set": [(0.0, 0.5), (1.0, 1.5)], "stream_dump": [(0.0, 1.4), (0.5, 1.2), (0.8, 0.3), (1.0, 0.3)]}
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), LEANS)[0]
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), SCHEDULES)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), LEANS)[1]
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixtarget"), SCHEDULES)[1]
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -29,9 +29,9 @@ def test_shares_caps_and_order(spark):
     assert first.count("small") / len(first) == pytest.approx(0.3, abs=0.03)
 
 
-def test_a_leaning_source_comes_later_and_keeps_its_share(spark):
+def test_a_growing_source_comes_later_and_keeps_its_share(spark):
     docs, targets = tables(spark, many("a", 600, 10) + many("b", 600, 10), [("a", 0.5, 2), ("b", 0.5, 2)])
-    mixed, shares = mix(docs, targets, {"b": 0.8, "a": -0.8})
+    mixed, shares = mix(docs, targets, {"b": [(0, 0.2), (1, 1.8)], "a": [(0, 1.8), (1, 0.2)]})
     uses = [r["source"] for r in mixed.collect()]
     half = len(uses) // 2
     assert uses[:half].count("b") / half == pytest.approx(0.3, abs=0.03) and uses[half:].count("b") / half == pytest.approx(0.7, abs=0.03)
@@ -58,3 +58,14 @@ def test_token_counts(spark):
     docs, _ = tables(spark, [(1, "Hello world", "a"), (2, None, "a"), (3, "word " * 50_000, "a")], [])
     got = {r[0]: r[2] for r in rows(token_counts(docs))}
     assert got[1] == 2 and got[2] == 0 and got[3] >= 50_000
+
+
+def test_a_schedule_of_several_points(spark):
+    docs, targets = tables(spark, many("a", 800, 10) + many("b", 800, 10), [("a", 0.5, 1), ("b", 0.5, 1)])
+    mixed, shares = mix(docs, targets, {"b": [(0, 0), (0.5, 0), (0.6, 1), (1, 1), (3, 7)], "a": [(0.9, -2)]})
+    uses = mixed.collect()
+    assert {r["share"] for r in shares.collect()} == {0.5}
+    # a has the first half of the time alone: half of its documents, a quarter of the mix
+    assert {r["source"] for r in uses[:390]} == {"a"} and [r["source"] for r in uses[1000:]].count("b") / 600 == pytest.approx(1 / 1.45, abs=0.05)
+    positions = [r["position"] for r in uses]
+    assert all(abs(p - (i + 0.5) / len(uses)) < 0.01 for i, p in enumerate(positions))  # the share of the mix before
