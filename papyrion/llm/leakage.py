@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, advert_marks, cue_bodies, kind_of, repair
+from papyrion.llm.subtitles import _INLINE_SOUND, _SPEAKER, TAG, Placed, cue_bodies, kind_of, repair
 from papyrion.sources.tables import spread
 
 SEED = 4
@@ -32,37 +33,43 @@ def words_of(text: str) -> list[str]:
     return [_JOINER.sub("", w) if not w.isalnum() else w for w in _WORD.findall(text.lower())]
 
 
-def _blank(match: re.Match) -> str:
-    return " " * (match.end() - match.start())
+def _without(pattern: re.Pattern, new: str, text):
+    return text.sub(pattern, new) if isinstance(text, Placed) else pattern.sub(new, text)
 
 
-def _nothing(match: re.Match) -> str:
-    """As many soft hyphens as were matched, which keep places and part no word."""
-    return "­" * (match.end() - match.start())
+_RETURN = re.compile("\r")
 
 
-def spoken_text(text: str, mapped: bool = False) -> str:
+def spoken_text(text: str | Placed) -> str | Placed:
     """The spoken words' lines of a whole file: no times, cue numbers, tags, speakers, sound or advert cues.
 
-    With `mapped`, everything left out is blanked, so that places are those of the repaired original.
+    A `Placed` text gives one whose characters still know their places.
     """
-    text = text.replace("\r", " ") if "\r" in text else text
-    kept, at, marks = [], 0, advert_marks(text)
-    for start, end in cue_bodies(text):
-        raw = text[start:end]
-        body = TAG.sub(_nothing if mapped else "", raw) if "<" in raw or "{" in raw else raw
-        if kind_of(TAG.sub("", raw) if mapped else body, marks) != "spoken":
+    placed = isinstance(text, Placed)
+    text = _without(_RETURN, " ", text) if "\r" in text else text
+    kept = []
+    for start, end in cue_bodies(str(text)):
+        body = text[start:end]
+        if "<" in body or "{" in body:
+            body = _without(TAG, "", body)
+        if kind_of(str(body)) != "spoken":
             continue
         if "[" in body or "(" in body or "♪" in body:
-            body = _INLINE_SOUND.sub(_blank, body)
+            body = _without(_INLINE_SOUND, " ", body)
         if ":" in body:
-            body = "\n".join(_SPEAKER.sub(_blank, line) if ":" in line else line for line in body.split("\n"))
-        if mapped:
-            kept.append(re.sub(r"[^\n]", " ", text[at:start]))
-        kept.append(body if mapped else "\n" + body)
-        at = end
-    out = "".join(kept)
-    return _BROKEN.sub(_nothing if mapped else "", out) if "-" in out or "‐" in out or "­" in out else out
+            lines = body.lines() if placed else body.splitlines(keepends=True) if "\n" in body else [body]
+            kept += [_without(_SPEAKER, "", line) if ":" in line else line for line in lines]
+        else:
+            kept.append(body)
+        kept.append(text[end - 1 : end].sub(_ANY, "\n") if placed else "\n")
+    if placed:
+        whole = Placed("".join(map(str, kept)), [i for k in kept for i in k.starts], [i for k in kept for i in k.ends])
+    else:
+        whole = "".join(kept)
+    return _without(_BROKEN, "", whole) if "-" in whole or "‐" in whole or "­" in whole else whole
+
+
+_ANY = re.compile(r"[\s\S]")
 
 
 class Passages:
@@ -181,7 +188,7 @@ def found_in(text: str, passages: Passages, least: int) -> list[tuple[int, int,
     """(item, words, spoiled, start, end) of each passage of which `text` holds at least `least` words in a row."""
     if passages.empty:
         return []
-    text = repair(text)
+    original, text = text, repair(text)
     plain = words_of(spoken_text(text))
     joined = f" {' '.join(plain)} "
     hits = list(passages.automaton.iter(joined))
@@ -200,34 +207,44 @@ def found_in(text: str, passages: Passages, least: int) -> list[tuple[int, int,
         best = align(passages.words[item], plain, places)
         if best[0] >= least:
             if spots is None:
-                spots = [m.span() for m in _WORD.finditer(spoken_text(text, mapped=True).lower())]
-            start, end = (spots[best[2]][0], spots[best[3]][1]) if len(spots) == len(plain) else (0, len(text))
-            out.append((item, best[0], best[1], start, end))
+                spoken = spoken_text(Placed(original).repaired()).lower()
+                spots = [(spoken.starts[m.start()], spoken.ends[m.end() - 1]) for m in _WORD.finditer(str(spoken))]
+            out.append((item, best[0], best[1], spots[best[2]][0], spots[best[3]][1]))
     return out
 
 
 _FOUND = "doc_id bigint, itemid bigint, words int, spoiled int, start bigint, end bigint"
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = 12, most_items: int = 200_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = 12, block: int = 10_000) -> DataFrame:
     """(`doc_id`, `itemid`, `words`, `spoiled`, `start`, `end`) for each document that holds `least` words of a passage in a row.
 
     `words` and `spoiled` describe the longest such stretch, `start` and `end` its place in the
-    document (counted in code points after repair of its encoding). The held-out set, which every task
-    scans for, is read by the driver; more than `most_items` passages raise an error and must be
-    looked for in blocks. Null and empty texts and passages, and passages of fewer than `least` words,
+    original text in code points. The held-out set goes to the tasks by broadcast, in blocks of about
+    `block` passages (which bounds an automaton's memory); each block beyond the first costs one more scan.
+    Null and empty texts and passages, and passages of fewer than `least` words,
     match nothing; of items of equal text each is reported. Nothing is shuffled unless a few files would
     leave cores idle.
     """
-    rows = items.where("itemid IS NOT NULL AND passage IS NOT NULL").select("itemid", "passage").distinct().limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} passages: look for them in blocks")
-    passages = Passages(sorted((r["itemid"], r["passage"]) for r in rows))
+    asked = items.where("itemid IS NOT NULL AND passage IS NOT NULL").select("itemid", "passage").distinct()
+    blocks = max(1, -(-asked.count() // block))
+    texts = spread(documents.select("doc_id", "text"), "doc_id")
+    found = None
+    for i in range(blocks):
+        part = _scanned(texts, asked.where(F.pmod(F.xxhash64("itemid"), F.lit(blocks)) == i), least)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _scanned(texts: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """What `leaks` finds of one block of passages."""
+    sent = texts.sparkSession.sparkContext.broadcast(sorted((r["itemid"], r["passage"]) for r in items.collect()))  # one block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(sent.value)
         for batch in batches:
             found = [(doc, *f) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for f in found_in(text.as_py() or "", passages, least)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 6, kinds)], names=["doc_id", "itemid", "words", "spoiled", "start", "end"])
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(scan, _FOUND)
+    return texts.mapInArrow(scan, _FOUND)

@@ -11,15 +11,10 @@ TAG = re.compile(r"<[^<>\n]{1,80}>|\{\\?[^{}\n]{1,40}\}")
 # Marks around sound descriptions, and what the marks become in a lost encoding.
 SOUND_OPEN, SOUND_CLOSE = "[(♪♫#*�?", "])♪♫#*�?"
 _INLINE_SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|♪[^♪]*♪|♫[^♫]*♫")
-# What credits and adverts in subtitle files hold, in lower case.
-ADVERT_MARKS = (
-    "http:/", "https:/", "www.", ">>>", "<<<", "subtitles by", "subtitle by", "subtitles at", "subtitles from", "subtitles downloaded", "subtitled by", "synced", "resync", "corrected by", "ripped by",
-    "translated by", "captions by", "caption by", "captioned", "encoded by", "transcript by", "support us", "advertise your", "rate this", "opensubtitles", "player for free", "untertitel:", "untertitel von",
-    "übersetzung", "sous-titr", "sottotitol", "legendas:", "legendas por", "traducido por", "traduzido por", "traducción:", "tradução:", "traduction :", "traduzione", "subtítulos", "vertaling", "vertaald",
-    "ondertitel", "tekstity", "suomennos", "suomentanut", "undertext", "översätt", "textning", "перевод:", "перевод :", "субтитр", "перевёл:", "перевел:",
-)
-_DOMAIN_ENDS = (".com", ".org", ".net", ".info", ".example", ".test", ".invalid")
-_DOMAIN = re.compile(r"\w(?:" + "|".join(map(re.escape, _DOMAIN_ENDS)) + r")\b")
+# What gives adverts and credits away, by form: an address (a dot inside a word before a run of letters of one
+# case), or a signature at the end: a name joined by "_", with digits or a second capital inside, or two by "&".
+_ADDRESS = re.compile(r"\.(?<=[^\W_]\.)(?:[a-z]{2,24}|[A-Z]{2,24})\b")
+_SIGNED = re.compile(r"(?:[^\W_]_[^\W_]\w*|[^\W\d_]\d{2,}[^\W\d_]\w*|\b[A-Z][a-z]+[A-HJ-Z][a-z]+\w*|\b[A-Z][a-z]{2,}I[a-z]{2,}\w*|\b[^\W\d_a-zа-я]\w+ & [^\W\d_a-zа-я]\w+)(?: \(\w+\))?$")
 _SPEAKER = re.compile(r"^[\s\xad]*(?:[-–—][\s\xad]*)?[^\W\d_a-zа-я][^\W_a-zа-яß-öø-ÿ]{1,24}(?: [^\W_a-zа-яß-öø-ÿ]{1,24})?:\s+(?=\S)")
 
 
@@ -55,20 +50,91 @@ def repair(text: str) -> str:
     """
     if text.isascii():
         return text
+    return _repaired(text, lambda pattern, by, text: pattern.sub(lambda m: _decoded(m, by), text), lambda table, text: text.translate(table))
+
+
+def _decoded(match: re.Match, by: dict[str, int]) -> str:
+    return bytes(by[c] for c in match.group()).decode("utf-8", "replace")
+
+
+def _repaired(text, substitute, translate):
+    """The repair of a str or a Placed, with the ways to change it."""
+    plain = str(text)
     for _ in range(2):
-        if not _FIRST.search(text):
+        if not _FIRST.search(plain):
             break
-        best = max(((sum(map(len, pattern.findall(text))), i) for i, (_, pattern) in enumerate(_MISREAD)), key=lambda x: x[0])
-        if best[0] < 4 or best[0] < 0.4 * sum(1 for ch in text if ch > "\x7f"):
+        best = max(((sum(map(len, pattern.findall(plain))), i) for i, (_, pattern) in enumerate(_MISREAD)), key=lambda x: x[0])
+        if best[0] < 4 or best[0] < 0.4 * sum(1 for ch in plain if ch > "\x7f"):
             break
         by, pattern = _MISREAD[best[1]]
-        text = pattern.sub(lambda m: bytes(by[c] for c in m.group()).decode("utf-8", "replace"), text)
-    high = len(_HIGH.findall(text))
-    if high > 20 and high > 0.6 * len(_LETTERS.findall(text)):
-        text = text.translate(_CYRILLIC_TABLE)
+        text = substitute(pattern, by, text)
+        plain = str(text)
+    high = len(_HIGH.findall(plain))
+    if high > 20 and high > 0.6 * len(_LETTERS.findall(plain)):
+        text = translate(_CYRILLIC_TABLE, text)
     return text
 
 
+class Placed:
+    """A text with the place in the original of each of its characters: [start, end)."""
+
+    __slots__ = ("ends", "starts", "text")
+
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None) -> None:
+        self.text = text
+        self.starts = list(range(len(text))) if starts is None else starts
+        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+
+    def __str__(self) -> str:
+        return self.text
+
+    def __contains__(self, part: str) -> bool:
+        return part in self.text
+
+    def __getitem__(self, part: slice) -> Placed:
+        return Placed(self.text[part], self.starts[part], self.ends[part])
+
+    def __add__(self, other: Placed) -> Placed:
+        return Placed(self.text + other.text, self.starts + other.starts, self.ends + other.ends)
+
+    def _rebuilt(self, pieces) -> Placed:
+        """From (first, last, replacement or None) pieces; a replacement's characters have the place of all it replaces."""
+        text, starts, ends = [], [], []
+        for a, b, new in pieces:
+            text.append(self.text[a:b] if new is None else new)
+            starts += self.starts[a:b] if new is None else [self.starts[a]] * len(new)
+            ends += self.ends[a:b] if new is None else [self.ends[b - 1]] * len(new)
+        return Placed("".join(text), starts, ends)
+
+    def sub(self, pattern: re.Pattern, new) -> Placed:
+        pieces, at = [], 0
+        for m in pattern.finditer(self.text):
+            if m.end() > m.start():
+                pieces += [(at, m.start(), None), (m.start(), m.end(), new(m) if callable(new) else new)]
+                at = m.end()
+        return self._rebuilt([*pieces, (at, len(self.text), None)])
+
+    def lines(self) -> list[Placed]:
+        """The lines with their ends."""
+        out, at = [], 0
+        for line in self.text.splitlines(keepends=True) if "\n" in self.text else [self.text]:
+            out.append(self[at : at + len(line)])
+            at += len(line)
+        return out
+
+    def lower(self) -> Placed:
+        lowered = self.text.lower()
+        if len(lowered) == len(self.text):
+            return Placed(lowered, self.starts, self.ends)
+        return self._rebuilt((i, i + 1, c.lower()) for i, c in enumerate(self.text))
+
+    def repaired(self) -> Placed:
+        """What `repair` makes of the text."""
+        if self.text.isascii():
+            return self
+        return _repaired(self, lambda pattern, by, text: text.sub(pattern, lambda m: _decoded(m, by)), lambda table, text: Placed(text.text.translate(table), text.starts, text.ends))
+
+
 def cue_bodies(text: str) -> list[tuple[int, int]]:
     """(start, end) of each cue's text lines, in order: what lies between lines of times, less the next cue's number.
 
@@ -94,26 +160,17 @@ def cue_bodies(text: str) -> list[tuple[int, int]]:
     return bodies
 
 
-def advert_marks(text: str) -> tuple[str, ...]:
-    """The advert marks that occur anywhere in a file, "." standing for web domains; looked up once, then per cue."""
-    flat = " ".join((TAG.sub("", text) if "<" in text or "{" in text else text).lower().split())
-    found = tuple(mark for mark in ADVERT_MARKS if mark in flat)
-    return (*found, ".") if any(end in flat for end in _DOMAIN_ENDS) and _DOMAIN.search(flat) else found
-
-
-def kind_of(body: str, marks: tuple[str, ...] = (*ADVERT_MARKS, ".")) -> str:
-    """`spoken`, `sound` or `advert` for a cue's lines without tags; `marks` are those to look for."""
+def kind_of(body: str) -> str:
+    """`spoken`, `sound` or `advert` for a cue's lines without tags."""
     flat = " ".join(body.split()).lstrip("-–— ")
     if not flat:
         return "sound"
-    if flat[0] in SOUND_OPEN and flat[-1] in SOUND_CLOSE and len(flat) > 2 and not any(c in flat[1:-1] for c in ("])" if flat[0] in "[(" else flat[0])):
+    last = flat[-1]
+    if flat[0] in SOUND_OPEN and last in SOUND_CLOSE and len(flat) > 2 and not any(c in flat[1:-1] for c in ("])" if flat[0] in "[(" else flat[0])):
         if flat[0] != "?" or flat[1] == " ":
             return "sound"
-    if marks:
-        flat = flat.lower()
-        for mark in marks:
-            if mark in flat and (mark != "." or _DOMAIN.search(flat)):
-                return "advert"
+    if _ADDRESS.search(flat) or (last.isalnum() or last == ")") and _SIGNED.search(flat):
+        return "advert"
     return "spoken"
 
 

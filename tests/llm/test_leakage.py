@@ -56,3 +56,17 @@ def test_nulls_empty_long_and_repeated(spark):
     assert run(spark, []) == [] and run(spark, [srt(PASSAGE)], items=[]) == []
     long = srt(*TALK * 5000, PASSAGE)
     assert words(run(spark, [long, long], items=[(1, PASSAGE), (1, PASSAGE), (2, PASSAGE)])) == {(d, i): len(WORDS) for d in (0, 1) for i in (1, 2)}
+
+
+def test_place_in_a_misread_and_marked_up_text(spark):
+    passage = PASSAGE.replace("apprentice", "äpprentice").replace("vineyard", "vïneyard").replace("pebbles", "pébbles").replace("barrels", "bårrels")
+    broken = passage.encode().decode("latin-1").split()
+    text = srt(*["Hyvää yötä, älä yritä.".encode().decode("latin-1")] * 4, "<b>ANN:</b> " + " ".join(broken[:6]) + " do<i>n't", " ".join(broken[2:11]), " ".join(broken[11:20]), "Later <i>on.</i>")
+    ((_, _, n, _, start, end),) = run(spark, [text], items=[(1, passage)])
+    assert n == 18 and text[start:].startswith(broken[2] + " ") and text[:end].endswith(broken[19])
+
+
+def test_passages_in_blocks(spark):
+    items = [(i, " ".join(WORDS[i : i + 14])) for i in range(12)]
+    whole = run(spark, [srt(PASSAGE), srt(" ".join(WORDS[:15]))], items=items)
+    assert run(spark, [srt(PASSAGE), srt(" ".join(WORDS[:15]))], items=items, block=3) == whole and len(whole) > 12

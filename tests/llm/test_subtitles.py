@@ -1,4 +1,4 @@
-from papyrion.llm.subtitles import cue_bodies, kind_of, repair, spoken_lines
+from papyrion.llm.subtitles import Placed, cue_bodies, kind_of, repair, spoken_lines
 
 FILE = "﻿1\n00:00:01,000 --> 00:00:02,000\nHello there.\n\n2\n00:00:03,000 --> 00:00:04,000\n- One\n- Two\n3\n00:00:05,000 --> 00:00:06,000\n42\nis it\n"
 
@@ -18,7 +18,8 @@ def test_kinds():
     assert kind_of("[ door slams ]") == kind_of("(a dog\nbarks)") == kind_of("♪ la la ♪") == kind_of("# music #") == "sound"
     assert kind_of("(sighs) Hello (laughs)") == "spoken"
     assert kind_of("Subtitles by X_Y") == kind_of("PLAY >>> www.a.test <<<") == kind_of("get it at abc.example now") == "advert"
-    assert kind_of("...começar de novo.") == kind_of("Wait.come on") == "spoken"
+    assert kind_of("...começar de novo.") == kind_of("Wait. Come on") == kind_of("At 3.50 I met McDonald there.") == kind_of("NO... NEVER") == "spoken"
+    assert kind_of("Untertitel: Ann & Bob") == kind_of("ripped by ulsa99x (OCR)") == kind_of("TEXT BY WWW.ABC.ORG") == kind_of("mail me_too@abc.org") == "advert"
 
 
 def test_lines():
@@ -35,3 +36,13 @@ def test_repair_of_encodings():
     assert repair(russian.encode("cp1251").decode("latin-1")) == russian
     for sound in (russian, text, "naïve café", "plain", "", "Ça va, Ñoño?"):
         assert repair(sound) == sound
+
+
+def test_places_after_repair():
+    text = "Hyvää yötä, älä yritä. " * 3
+    broken = text.encode().decode("latin-1")
+    placed = Placed(broken).repaired()
+    assert str(placed) == repair(broken) == text
+    for i, ch in enumerate(text):
+        assert broken[placed.starts[i] : placed.ends[i]].encode("latin-1").decode() == ch
+    assert str(Placed("İstanbul Ab").lower()) == "İstanbul Ab".lower() and Placed("İx").lower().starts == [0, 0, 1]
