@@ -22,27 +22,48 @@ from papyrion.llm.subtitles import TAG, cue_bodies, kind_of, repair, spoken_line
 from papyrion.sources.tables import spread
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The most frequent characters have ids of so many bits, and their n-grams codes below COMPACT, which are looked
+#: up in a table; n-grams with any other character are coded by code points and looked up by search.
 _BITS = 7
-_TOP = 1 << _BITS
+_TOP, _COMPACT = 1 << _BITS, 1 << 3 * _BITS
+_POINT, _TEXT = 21, 40  # bits of a code point, and of an n-gram beside a text's number
+
+
+def _ids_of(letters: dict[str, int]) -> np.ndarray:
+    """The id of each code point: 1 for the space, 2 to 127 for `letters`, the others follow."""
+    ids = np.arange(_TOP, _TOP + 0x110000, dtype=np.int64)
+    ids[32] = 1
+    for ch, i in letters.items():
+        ids[ord(ch)] = i
+    return ids
 
 
 class Profiles:
-    """`languages`, the ids of known characters, and of each coded n-gram the place in each language's profile.
+    """`languages`, the ids of the most frequent characters, and of each coded n-gram the place in each language's profile.
 
     Only the profiles themselves are pickled; the tables for look-up are built where they are used.
     """
 
     def __init__(self, languages: list[str], letters: dict[str, int], ordered: list[np.ndarray], size: int) -> None:
         self.languages, self.letters, self.ordered, self.size = languages, letters, ordered, size
-        self.codes = np.zeros(0x10000, np.uint8)
-        for ch, i in letters.items():
-            self.codes[ord(ch)] = i
+        self.ids = _ids_of(letters)
         known = np.unique(np.concatenate(ordered)) if ordered else np.zeros(0, np.int64)
-        self.index = np.zeros(1 << 3 * _BITS, np.int32)  # coded n-gram -> row of places, 0 for unknown ones
-        self.index[known] = np.arange(1, len(known) + 1)
+        self.known = known
+        self.index = np.zeros(_COMPACT, np.int32)  # coded n-gram -> row of places, 0 for unknown ones
+        few = known[known < _COMPACT]
+        self.index[few] = np.arange(1, len(few) + 1)
         self.places = np.full((len(known) + 1, len(languages)), size, np.int16)
         for i, keys in enumerate(ordered):
-            self.places[self.index[keys], i] = np.arange(len(keys))
+            self.places[self.rows_of(keys), i] = np.arange(len(keys))
+
+    def rows_of(self, grams: np.ndarray) -> np.ndarray:
+        """The rows of `places` of coded n-grams."""
+        wide = grams >= _COMPACT
+        rows = self.index[np.where(wide, 0, grams)]
+        if wide.any() and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, grams[wide]), len(self.known) - 1)
+            rows[wide] = np.where(self.known[at] == grams[wide], at + 1, 0)
+        return rows
 
     def __reduce__(self):
         return Profiles, (self.languages, self.letters, self.ordered, self.size)
@@ -52,42 +73,63 @@ def _plain(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower())
 
 
-def _coded(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _coded(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coded n-gram) of all n-grams of two and three characters, words padded by spaces."""
     joined = "\n".join(f" {t} " for t in map(_plain, texts)) + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    number = np.cumsum(points == 10) - (points == 10)
-    space = points == 32
-    ids = codes[np.minimum(points, 0xFFFF)].astype(np.int64)
-    ids[space] = 1
-    ids[points == 10] = 0
-    a, b, c = ids[:-2], ids[1:-1], ids[2:]
-    number = number[1:-1]
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = points == 10
+    number = (np.cumsum(ends) - ends)[1:-1]
+    own = ids[points]
+    own[ends] = 0
+    a, b, c = own[:-2], own[1:-1], own[2:]
     two, three = (a > 0) & (b > 0) & ((a > 1) | (b > 1)), (a > 0) & (b > 1) & (c > 0)
-    return np.concatenate([number[two], number[three]]), np.concatenate([(a[two] << _BITS) | b[two], (a[three] << 2 * _BITS) | (b[three] << _BITS) | c[three]])
+
+    def code(*parts: np.ndarray) -> np.ndarray:
+        out = parts[0]
+        for part in parts[1:]:
+            out = (out << _BITS) | part
+        wide = np.maximum.reduce(parts) >= _TOP
+        if wide.any():
+            spelt = parts[0][wide]
+            for part in parts[1:]:
+                spelt = (spelt << _POINT) | part[wide]
+            out[wide] = spelt
+        return out
+
+    return np.concatenate([number[two], number[three]]), np.concatenate([code(a[two], b[two]), code(a[three], b[three], c[three])])
 
 
 def _ranked(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram, place) of each text's different n-grams; those of equal frequency share a place."""
-    keys, counts = np.unique((number << 3 * _BITS) | grams, return_counts=True)
-    text = keys >> 3 * _BITS
+    wide = grams >= _COMPACT
+    spelt = np.zeros(0, np.int64)
+    if wide.any():  # numbered, so that they fit beside the text's number
+        spelt, at = np.unique(grams[wide], return_inverse=True)
+        grams = grams.copy()
+        grams[wide] = _COMPACT + at
+    keys, counts = np.unique((number << _TEXT) | grams, return_counts=True)
+    text = keys >> _TEXT
     order = np.lexsort((-counts, text))
     keys, counts, text = keys[order], counts[order], text[order]
     position = np.arange(len(keys))
     start = np.maximum.accumulate(np.where(np.r_[True, text[1:] != text[:-1]], position, 0))
     tie = np.maximum.accumulate(np.where(np.r_[True, (text[1:] != text[:-1]) | (counts[1:] != counts[:-1])], position, 0))
-    return text, keys & ((1 << 3 * _BITS) - 1), tie - start
+    grams = keys & ((1 << _TEXT) - 1)
+    if len(spelt):
+        wide = grams >= _COMPACT
+        grams[wide] = spelt[grams[wide] - _COMPACT]
+    return text, grams, tie - start
 
 
 def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
     """(mean out-of-place distance of each text to each language, number of its different n-grams)."""
     out, sizes = np.full((len(texts), len(profiles.languages)), float(profiles.size)), np.zeros(len(texts), np.int64)
     for at in range(0, len(texts), 20_000):
-        number, grams = _coded(texts[at : at + 20_000], profiles.codes)
+        number, grams = _coded(texts[at : at + 20_000], profiles.ids)
         if not len(number):
             continue
         text, gram, place = _ranked(number, grams)
-        apart = profiles.places[profiles.index[gram]]
+        apart = profiles.places[profiles.rows_of(gram)]
         apart -= np.minimum(place, profiles.size).astype(np.int16)[:, None]
         np.abs(apart, out=apart)
         starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
@@ -104,13 +146,11 @@ def fit(samples: dict[str, list[str]], size: int = 1500) -> Profiles:
     for texts in samples.values():
         for t in texts:
             common.update(_plain(t))
-    letters = {ch: i for i, (ch, _) in enumerate(sorted(((c, n) for c, n in common.items() if not c.isspace() and ord(c) < 0x10000), key=lambda x: (-x[1], x[0]))[: _TOP - 3], start=2)}
-    codes = np.zeros(0x10000, np.uint8)
-    for ch, i in letters.items():
-        codes[ord(ch)] = i
+    letters = {ch: i for i, (ch, _) in enumerate(sorted(((c, n) for c, n in common.items() if not c.isspace()), key=lambda x: (-x[1], x[0]))[: _TOP - 3], start=2)}
+    ids = _ids_of(letters)
     ordered = []
     for language in languages:
-        _, grams = _coded(samples[language], codes)
+        _, grams = _coded(samples[language], ids)
         keys, counts = np.unique(grams, return_counts=True)
         ordered.append(keys[np.lexsort((keys, -counts))[:size]])
     return Profiles(languages, letters, ordered, size)

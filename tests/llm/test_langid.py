@@ -78,3 +78,21 @@ def test_held_out_accuracy(spark):
     single = langid.stretches(held, learnt).where("languages = 1").dropDuplicates(["doc_id"])
     right = single.where("lang = label").count() / single.count()
     assert right > 0.9  # labels themselves are wrong in some files
+
+
+def test_languages_with_very_many_characters():
+    speech = {
+        "zh": "我今天早上把旧箱子忘在厨房里了。没有人告诉我关于钱的事情。我们没有另一把钥匙不能回去。他们在车站后面找到了那封信。",
+        "ja": "今朝、古いスーツケースを台所に置き忘れました。お金のことは誰も教えてくれませんでした。もう一つの鍵がなければ戻れません。駅の裏でその手紙を見つけました。",
+        "ko": "오늘 아침에 낡은 가방을 부엌에 두고 왔어요. 아무도 돈에 대해 말해 주지 않았어요. 다른 열쇠 없이는 돌아갈 수 없어요. 역 뒤에서 그 편지를 찾았어요.",
+        "got": "𐌲𐌿𐌸 𐍅𐌰𐍃 𐌸𐌰𐍄𐌰 𐍅𐌰𐌿𐍂𐌳 𐌾𐌰𐌷 𐌸𐌰𐍄𐌰 𐍅𐌰𐌿𐍂𐌳 𐍅𐌰𐍃 𐌰𐍄 𐌲𐌿𐌳𐌰",
+        "en": " ".join(SPEECH["en"]),
+    }
+    many = "".join(map(chr, range(0x4E00, 0x5000)))  # far more characters than have a short id
+    profiles = langid.fit({k: [v] * 2 for k, v in speech.items()} | {"xx": [many]})
+    near = langid.distances(["没有人把钥匙忘在厨房里", "鍵を台所に置き忘れました", "열쇠를 부엌에 두고 왔어요", "𐍅𐌰𐍃 𐌸𐌰𐍄𐌰 𐍅𐌰𐌿𐍂𐌳", "Nobody left the key behind.", many[100:140], ""], profiles)
+    assert [profiles.languages[i] for i in near[0][:6].argmin(axis=1)] == ["zh", "ja", "ko", "got", "en", "xx"] and near[1][6] == 0
+    import pickle
+
+    again = pickle.loads(pickle.dumps(profiles))
+    assert (again.places == profiles.places).all()
