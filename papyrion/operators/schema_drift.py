@@ -1,45 +1,85 @@
 """One consistent table from documents whose fields drift from file to file.
 
 Every field of every document becomes a cell of a tagged union: its kind (whole, fraction, truth,
-text, other, null) and its value. Files' schemas are the fused kinds per field path, inferred in
-parallel by a partial aggregation that moves one small state per (file, field) and task. Changes are
+text, object, array, null) and its value; what lies in objects and arrays becomes cells of its own, named by its
+path (`address.city`, `lines[].price`). Files' schemas are the fused kinds per path, inferred in
+parallel by a partial aggregation that moves one small state per (file, path) and task. Changes are
 read from those schemas alone; only for files in which a field leaves and another arrives are the
-cells of just these fields compared, by an equality join on (file, document, value). What says which
-files and fields these are is metadata; it is broadcast to the scan if it has few rows, else joined by shuffle.
+documents read again and the cells of just these fields compared, by an equality join on (file, document, value). What says which
+files and fields these are is metadata; it is broadcast to the scan if it takes few bytes, else joined by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrion.stable import if_small, settle
 
-KINDS = ("whole", "fraction", "truth", "text", "other")
+KINDS = ("whole", "fraction", "truth", "text", "object", "array")
+#: Levels of objects and arrays that are taken apart; what lies deeper belongs to the value of the last.
+DEPTH = 6
+
+
+# Marks before a field's name and an item's number in a path, told apart from anything a name holds.
+_FIELD, _ITEM = "\x01", "\x02"
+
+
+def _below(value: Column, depth: int) -> Column:
+    """(`path`, `value`) of all that lies in an object or array; null for other values."""
+    fields = F.transform(F.map_entries(value.try_cast("map<string,variant>")), lambda e: F.struct(F.concat(F.lit(_FIELD), e["key"]).alias("path"), e["value"].alias("value")))
+    items = F.transform(value.try_cast("array<variant>"), lambda v, i: F.struct(F.concat(F.lit(_ITEM), i.cast("string")).alias("path"), v.alias("value")))
+    own = F.coalesce(fields, items)
+    if depth == 1:
+        return own
+
+    def with_below(e: Column) -> Column:
+        deeper = F.transform(_below(e["value"], depth - 1), lambda f: F.struct(F.concat(e["path"], f["path"]).alias("path"), f["value"].alias("value")))
+        return F.coalesce(F.concat(F.array(e), deeper), F.array(e))
+
+    return F.flatten(F.transform(own, with_below))
+
+
+def _exploded(documents: DataFrame) -> DataFrame:
+    """(`schemapath`, `fileseq`, `docpointer`, `name`, `field`, `__value`): the cells before their kind is looked at."""
+    text = F.col("elements")
+    parsed = documents.select("schemapath", "fileseq", "docpointer", F.when(text.rlike(r"^\s*\{"), F.try_parse_json(text)).alias("__json"), text.rlike(r"^\s*\{[^\[{]*[\[{]").alias("__deep"))
+    # documents without brackets inside are flat; others become one flat object of paths
+    entries = F.transform(_below(F.col("__json"), DEPTH), lambda e: F.struct(F.substring(e["path"], 2, 2**31 - 1).alias("path"), e["value"].alias("value")))
+    flat = parsed.withColumn("__json", F.when(F.col("__deep"), F.to_variant_object(F.map_from_entries(entries))).otherwise(F.col("__json")))
+    cell = flat.lateralJoin(documents.sparkSession.tvf.variant_explode_outer(F.col("__json").outer()))
+    shown = F.regexp_replace(F.regexp_replace("key", f"{_ITEM}[0-9]+", "[]"), _FIELD, ".")
+    name = F.when(F.col("__deep"), shown).otherwise(F.col("key"))
+    return cell.select("schemapath", "fileseq", "docpointer", name.alias("name"), F.lower(name).alias("field"), F.col("value").alias("__value"))
+
+
+def _typed(exploded: DataFrame) -> DataFrame:
+    """The cells with `kind` and `value` in place of `__value`."""
+    shaped = exploded.withColumn("__shape", F.expr("schema_of_variant(__value)"))
+    shape = F.col("__shape")
+    kind = (
+        F.when(shape == "STRING", "text")
+        .when(shape == "BIGINT", "whole")
+        .when(shape == "BOOLEAN", "truth")
+        .when(shape == "VOID", None)
+        .when(shape.startswith("DECIMAL"), F.when(F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int") > 19, "whole").otherwise("fraction"))  # whole numbers beyond 64 bits
+        .when(shape.startswith("OBJECT"), "object")
+        .when(shape.startswith("ARRAY"), "array")
+        .when(shape.isNotNull(), "fraction")
+    )
+    return shaped.select(*(c for c in exploded.columns if c != "__value"), kind.alias("kind"), F.expr("try_cast(__value AS string)").alias("value"))
 
 
 def cells(documents: DataFrame) -> DataFrame:
-    """(`schemapath`, `fileseq`, `docpointer`, `name`, `field`, `kind`, `value`), one row per field of a document.
+    """(`schemapath`, `fileseq`, `docpointer`, `name`, `field`, `kind`, `value`), one row per field of a document at any level.
 
     `field` is `name` in lower case. A document that is null, no valid JSON or no object (JSON objects
     that repeat a name exactly count as invalid) and an empty object give one row with a null field,
-    so their file is still known. `kind` is null for a JSON null.
+    so their file is still known. `kind` is null for a JSON null. Objects and arrays have a row
+    themselves, and one for each value in them down to DEPTH levels.
     """
-    parsed = documents.selectExpr("schemapath", "fileseq", "docpointer", "try_parse_json(elements) AS __json")
-    objects = parsed.withColumn("__json", F.expr("CASE WHEN schema_of_variant(__json) LIKE 'OBJECT<%' THEN __json END"))
-    exploded = objects.lateralJoin(documents.sparkSession.tvf.variant_explode_outer(F.col("__json").outer()))
-    shape = F.expr("schema_of_variant(value)")
-    digits = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
-    kind = (
-        F.when(shape == "BIGINT", "whole")
-        .when(digits.try_cast("int") > 19, "whole")  # whole numbers beyond 64 bits
-        .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "fraction")
-        .when(shape == "BOOLEAN", "truth")
-        .when(shape == "STRING", "text")
-        .when(shape != "VOID", "other")
-    )
-    return exploded.select("schemapath", "fileseq", "docpointer", F.col("key").alias("name"), F.lower("key").alias("field"), kind.alias("kind"), F.expr("try_cast(value AS string)").alias("value"))
+    return _typed(_exploded(documents))
 
 
 def file_schemas(documents: DataFrame) -> DataFrame:
@@ -53,6 +93,23 @@ def file_schemas(documents: DataFrame) -> DataFrame:
     return counted.select("schemapath", "fileseq", "field", F.array_max(present)["kind"].alias("kind"), F.map_from_entries(F.transform(present, lambda x: F.struct(x["kind"], x["n"]))).alias("kinds"), sum(F.col(k) for k in KINDS).alias("filled"))
 
 
+def alternatives(documents: DataFrame) -> DataFrame:
+    """(`schemapath`, `fileseq`, `field`, `kind`, `change`, `n`): kinds of value that appear in or leave a field that the file before has too.
+
+    `n` is how many values of the file, or for `leaves` of the file before, are of that kind, repeated
+    rows counted. Every alternative counts, however rare, also where the kind of most values stays.
+    """
+    schemas = settle(file_schemas(documents.where("schemapath IS NOT NULL AND fileseq IS NOT NULL")).where("field IS NOT NULL").select("schemapath", "fileseq", "field", "kinds"))
+    before = schemas.select("schemapath", (F.col("fileseq") + 1).alias("fileseq"), "field", F.col("kinds").alias("__before"))
+    both = schemas.join(before, ["schemapath", "fileseq", "field"])
+
+    def differing(here: str, there: str, change: str) -> Column:
+        only = F.filter(F.map_entries(here), lambda e: ~F.map_contains_key(there, e["key"]))
+        return F.transform(only, lambda e: F.struct(e["key"].alias("kind"), F.lit(change).alias("change"), e["value"].alias("n")))
+
+    return both.select("schemapath", "fileseq", "field", F.inline(F.concat(differing("kinds", "__before", "appears"), differing("__before", "kinds", "leaves"))))
+
+
 def _comparable(value: str) -> F.Column:
     """A value's form for comparison between columns of other types: 17, 17.0 and "17" are equal."""
     number = F.col(value).try_cast("double")
@@ -93,12 +150,14 @@ def changes(documents: DataFrame, carried: float = 0.5) -> DataFrame:
     left = both.where("`is` IS NULL").select("schemapath", "fileseq", F.col("field").alias("oldfield"))
     mixed = if_small(settle(arrived.select("schemapath", "fileseq").distinct().join(left.select("schemapath", "fileseq").distinct(), ["schemapath", "fileseq"])))
 
-    all_cells = cells(documents).where("kind IS NOT NULL AND docpointer IS NOT NULL").select("schemapath", "fileseq", "docpointer", "field", _comparable("value").alias("value"))
     wanted_old = left.join(mixed, ["schemapath", "fileseq"], "left_semi").select("schemapath", (F.col("fileseq") - 1).alias("fileseq"), F.col("oldfield").alias("field"), F.lit("old").alias("side"))
     wanted_new = arrived.join(mixed, ["schemapath", "fileseq"], "left_semi").select("schemapath", "fileseq", F.col("newfield").alias("field"), F.lit("new").alias("side"))
     wanted = if_small(settle(wanted_old.unionByName(wanted_new)))
-    moved = settle(all_cells.join(wanted, ["schemapath", "fileseq", "field"]).distinct())
-    shared = settle(_documents_in_both(documents, mixed))
+    concerned = if_small(settle(mixed.unionByName(mixed.select("schemapath", (F.col("fileseq") - 1).alias("fileseq"))).distinct()))
+    again = documents.where("docpointer IS NOT NULL").join(concerned, ["schemapath", "fileseq"], "left_semi").select("schemapath", "fileseq", "docpointer", "elements")
+    asked = _typed(_exploded(again).join(wanted, ["schemapath", "fileseq", "field"])).where("kind IS NOT NULL")
+    moved = settle(asked.select("schemapath", "fileseq", "field", "docpointer", "side", _comparable("value").alias("value")).distinct())
+    shared = _documents_in_both(documents, mixed)
     old = moved.where("side = 'old'").select("schemapath", after.alias("fileseq"), "docpointer", F.col("field").alias("oldfield"), "value").join(shared, ["schemapath", "fileseq", "docpointer"], "left_semi")
     new = moved.where("side = 'new'").select("schemapath", "fileseq", "docpointer", F.col("field").alias("newfield"), "value")
     filled = old.groupBy("schemapath", "fileseq", "oldfield").agg(F.countDistinct("docpointer").alias("filled"))
@@ -168,5 +227,5 @@ def unified(documents: DataFrame, carried: float = 0.5) -> DataFrame:
         F.expr("CASE WHEN c.kind = 'whole' THEN try_cast(c.value AS bigint) END").alias("v_whole"),
         F.expr("CASE WHEN c.kind = 'fraction' THEN try_cast(c.value AS double) END").alias("v_fraction"),
         F.expr("CASE WHEN c.kind = 'truth' THEN try_cast(c.value AS boolean) END").alias("v_truth"),
-        F.expr("CASE WHEN c.kind IN ('text', 'other') THEN c.value END").alias("v_text"), canonical.alias("canonical"),
+        F.expr("CASE WHEN c.kind IN ('text', 'object', 'array') THEN c.value END").alias("v_text"), canonical.alias("canonical"),
     )

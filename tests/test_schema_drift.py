@@ -1,6 +1,6 @@
 import json
 
-from papyrion.operators.schema_drift import changes, file_schemas, unified
+from papyrion.operators.schema_drift import alternatives, changes, file_schemas, unified
 from tests.conftest import rows
 
 SCHEMA = "schemapath string, fileseq int, docpointer string, elements string, kind string, value string, field string"
@@ -49,7 +49,7 @@ def test_bad_documents_nulls_gaps_and_repeats(spark):
 
 def test_empty_table(spark):
     empty = documents(spark, {})
-    assert rows(changes(empty)) == [] and rows(file_schemas(empty)) == [] and rows(unified(empty)) == []
+    assert rows(changes(empty)) == [] and rows(alternatives(empty)) == [] and rows(file_schemas(empty)) == [] and rows(unified(empty)) == []
 
 
 def test_unified_follows_renames_and_keeps_typed_branches(spark):
@@ -63,3 +63,21 @@ def test_unified_follows_renames_and_keeps_typed_branches(spark):
 def test_a_very_long_value(spark):
     docs = documents(spark, {1: {"a": {"x": "y" * 300_000}}, 2: {"a": {"z": "y" * 300_000}}})
     assert [r[2:] for r in rows(changes(docs))] == [("renamed", "x", "z")]
+
+
+def test_paths_below_the_top_level_and_alternatives(spark):
+    first = {str(i): {"a": 1, "n": {"x": 1, "deep": [{"p": 1}]}} for i in range(3)}
+    second = {"0": {"a": "text", "n": {"x": "1", "y": 2, "deep": [{"p": 1}, {"p": 1.5}]}}, "1": {"a": 1, "n": {"x": "2"}}, "2": {"a": 1, "n": None}}
+    docs = documents(spark, {1: first, 2: second})
+    assert [r[1:] for r in rows(changes(docs))] == [(2, "added", "", "n.y"), (2, "retyped", "n.x", "n.x")]
+    assert [r[1:] for r in rows(alternatives(docs))] == [(2, "a", "text", "appears", 1), (2, "n.deep[].p", "fraction", "appears", 1), (2, "n.x", "text", "appears", 2), (2, "n.x", "whole", "leaves", 3)]
+    assert {r["field"]: r["kind"] for r in file_schemas(docs).where("fileseq = 1").collect()} == {"a": "whole", "n": "object", "n.x": "whole", "n.deep": "array", "n.deep[]": "object", "n.deep[].p": "whole"}
+
+
+def test_a_renamed_field_in_an_object_and_very_deep_values(spark):
+    old, new = ({str(i): {"n": {name: i}} for i in range(4)} for name in ("x", "z"))
+    assert [r[2:] for r in rows(changes(documents(spark, {1: old, 2: new})))] == [("renamed", "n.x", "n.z")]
+    deep = 1
+    for _ in range(20):
+        deep = {"d": deep}
+    assert {r["kind"] for r in file_schemas(documents(spark, {1: {"1": deep}})).collect()} == {"object"}
