@@ -73,16 +73,18 @@ def read_date(text: Column) -> Column:
 READERS = {"bigint": read_bigint, "double": read_double, "boolean": read_boolean, "date": read_date, "string": bare}
 
 
-def declared(types: DataFrame, most: int = 5_000) -> list[tuple[str, str, list[str]]]:
+#: Attributes to an aggregation; more are found by several, whose rows are joined.
+BLOCK = 500
+
+
+def declared(types: DataFrame) -> list[tuple[str, str, list[str]]]:
     """(attribute, type, schemapaths) of the declarations, in order of name and type.
 
     Names are compared without case and blanks around, rows without a name, schemapath or known type
-    declare nothing. The list is metadata, one entry per declared column; more than `most` raise an error.
+    declare nothing. The list is metadata: one entry per declared column, whatever the number of rows.
     """
     rows = types.select("schemapath", F.lower(bare(F.col("elementname"))).alias("name"), F.lower(bare(F.col("typename"))).alias("type")).where(F.col("type").isin(*READERS)).groupBy("name", "type").agg(F.sort_array(F.collect_set("schemapath")).alias("paths"))
-    found = rows.where("name IS NOT NULL AND size(paths) > 0").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} attributes are declared")
+    found = rows.where("name IS NOT NULL AND size(paths) > 0").collect()
     return sorted((r["name"], r["type"], list(r["paths"])) for r in found)
 
 
@@ -106,11 +108,29 @@ def widen(elements: DataFrame, types: DataFrame) -> DataFrame:
     rows = elements.where("documentid IS NOT NULL AND schemapath IS NOT NULL").select(path, "documentid", name.alias("__name"), "elementvalue", "modified", "created")
     if not attributes:
         return rows.select("schemapath", "documentid").distinct()
+    columns = column_names(attributes)
+    blocks = [(attributes[i : i + BLOCK], columns[i : i + BLOCK]) for i in range(0, len(attributes), BLOCK)]
+    wide = _block(rows, *blocks[0])
+    for i, block in enumerate(blocks[1:]):
+        more = _block(rows, *block).withColumnsRenamed({"schemapath": "__path", "documentid": "__document"})
+        wide = wide.join(more, (F.col("schemapath") == F.col("__path")) & (F.col("documentid") == F.col("__document"))).drop("__path", "__document")
+    return wide
+
+
+def _block(rows: DataFrame, attributes: list[tuple[str, str, list[str]]], columns: list[str]) -> DataFrame:
+    """One row per (`schemapath`, `documentid`) of all rows, with the columns of these attributes.
+
+    A cell's state is its times, the value as written and, as text, the value read; it gets its type at the end.
+    """
+    path = F.col("schemapath")
     kinds = F.create_map(*(F.lit(x) for n, kind, paths in attributes for at in paths for x in (f"{at}\x1f{n}", kind)))
     rows = rows.withColumn("__kind", F.element_at(kinds, F.concat_ws("\x1f", path, "__name")))
-    typed = [F.when(F.col("__kind") == kind, reader(F.col("elementvalue"))).alias(kind) for kind, reader in READERS.items()]
-    ranked = rows.select("schemapath", "documentid", F.when(F.col("__kind").isNotNull(), F.col("__name")).alias("__name"), F.struct("modified", "created", "elementvalue", *typed).alias("__cell"))
-    picks = [F.max(F.when((F.col("__name") == n) & path.isin(paths), F.col("__cell")))[kind].alias(column) for (n, kind, paths), column in zip(attributes, column_names(attributes))]
+    read = F.lit(None).cast("string")
+    for kind, reader in READERS.items():
+        read = F.when(F.col("__kind") == kind, reader(F.col("elementvalue")).cast("string")).otherwise(read)
+    cell = F.struct("modified", "created", "elementvalue", read.alias("read"))
+    ranked = rows.select("schemapath", "documentid", F.when(F.col("__kind").isNotNull(), F.col("__name")).alias("__name"), cell.alias("__cell"))
+    picks = [F.max(F.when((F.col("__name") == n) & path.isin(paths), F.col("__cell")))["read"].try_cast(kind).alias(column) for (n, kind, paths), column in zip(attributes, columns)]
     return ranked.groupBy("schemapath", "documentid").agg(*picks)
 
 

@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from papyrion.operators import attributes as attributes_module
 from papyrion.operators.attributes import filled_cells, read_bigint, read_boolean, read_date, read_double, widen
 from tests.conftest import rows
 
@@ -53,3 +54,11 @@ def read(spark, reader, texts):
 )
 def test_notations(spark, reader, cases):
     assert read(spark, reader, [*cases, None]) == [*cases.values(), None]
+
+
+def test_more_attributes_than_one_aggregation_takes(spark, monkeypatch):
+    types = [("P", f"a{i}", "bigint") for i in range(7)]
+    data = [(d, "P", f"a{i}", str(10 * d + i), T1, T1) for d in (1, 2) for i in range(7)] + [(3, "P", "zzz", "1", T1, T1)]
+    whole = rows(widen(*tables(spark, data, types)))
+    monkeypatch.setattr(attributes_module, "BLOCK", 3)
+    assert rows(widen(*tables(spark, data, types))) == whole and len(whole) == 3
