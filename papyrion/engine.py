@@ -29,6 +29,13 @@ _PROCESSES = itertools.count(1)
 #: Changes of a table after which its lineage is cut.
 CHANGES_KEPT = 8
 SETTINGS = ("tracewaittimes", "warnmissingfields", "warnnullpropagation", "readuncommitted")
+#: Options of WITH by statement, and their types.
+OPTIONS = {
+    "create schema": {"pagesize": int}, "alter schema": {"pagesize": int}, "create index": {"partitions": int}, "create uniquekey": {"partitions": int}, "rebuild index": {"partitions": int}, "rebuild uniquekey": {"partitions": int},
+    "analyze schema": {"includephysicalpages": bool}, "create account": {"password": str}, "grant": {"recursive": bool}, "deny": {"recursive": bool},
+}
+#: What ALTER CONFIGURATION takes: fields a page of new schemas, tasks after a shuffle, whether statements are counted.
+CONFIGURATION = {"defaultdocumentpagesize": int, "shufflepartitions": int, "healthmonitoringenabled": bool}
 
 
 @dataclass
@@ -75,15 +82,16 @@ class Engine:
     def __init__(self, spark: SparkSession, document: bool = False, storage: str | None = None, account: str = "admin", catalog: Catalog | None = None, policies: Policies | None = None, sticky_sort: bool = False, null_keys: bool = True) -> None:
         self.spark, self.document, self.storage, self.account, self.sticky_sort = spark, document, storage, account, sticky_sort
         self.null_keys = null_keys
-        self.catalog = catalog or Catalog(spark)
+        self.catalog = (catalog or Catalog(spark)).view()
         self.policies = policies or Policies()
-        self.transactions: list[Catalog] = []
         self.variables: dict[str, object] = {}
         self.settings: dict[str, object] = {}
         self.configuration: dict[str, object] = {}
         self.counters: Counter = Counter()
         self.messages: list[str] = []
         self.process = next(_PROCESSES)
+        self.closed = False
+        self.catalog.sessions[self.process] = self
 
     # -- API: tables
 
@@ -110,9 +118,13 @@ class Engine:
         return len(documents)
 
     def sample(self, path: str, size: int = 100) -> DataFrame:
-        """`size` random rows."""
+        """`size` rows drawn at random, each draw from all rows, so that a row may come twice. The table is counted first."""
         self._permit("read", path)
-        return self.catalog.frame(path).orderBy(F.rand()).limit(size)
+        frame = self.catalog.frame(path)
+        n = frame.count()
+        if not n or not size:
+            return frame.limit(0)
+        return frame.sample(True, (size + 6 * size**0.5 + 12) / n).orderBy(F.rand()).limit(size)
 
     def list(self, path: str, size: int = 100) -> DataFrame:
         self._permit("read", path)
@@ -190,7 +202,7 @@ class Engine:
 
     def fetch(self, text: str, parameters: dict | None = None, into: type | None = None) -> list:
         """Rows as dictionaries, or as objects of a class that takes the fields by name, case ignored."""
-        frame = self.sql(text, parameters)
+        frame = self._own(self.sql(text, parameters))
         rows = [dict(zip(frame.columns, r)) for r in frame.collect()]
         if into is None:
             return rows
@@ -198,13 +210,13 @@ class Engine:
         return [into(**{known[k.lower()]: v for k, v in r.items() if k.lower() in known}) for r in rows]
 
     def first(self, text: str, parameters: dict | None = None) -> dict | None:
-        frame = self.sql(text, parameters)
+        frame = self._own(self.sql(text, parameters))
         row = frame.first()
         return None if row is None else dict(zip(frame.columns, row))
 
     def single(self, text: str, parameters: dict | None = None) -> dict:
         """The only row; none or several raise."""
-        frame = self.sql(text, parameters)
+        frame = self._own(self.sql(text, parameters))
         rows = frame.take(2)
         if len(rows) != 1:
             raise DialectError(f"expected one row, found {'none' if not rows else 'several'}")
@@ -212,7 +224,7 @@ class Engine:
 
     def scalar(self, text: str, parameters: dict | None = None):
         """The first field of the first row, None without rows."""
-        row = self.sql(text, parameters).first()
+        row = self._own(self.sql(text, parameters)).first()
         return None if row is None else row[0]
 
     def execute_non_query(self, text: str, parameters: dict | None = None) -> int:
@@ -246,30 +258,47 @@ class Engine:
         return "\n".join(out)
 
     def begin(self) -> None:
-        self.transactions.append(self.catalog.snapshot())
+        """Opens a transaction, or one inside it. Until the outermost ends, other sessions do not see its changes, and it sees theirs."""
+        self.catalog.schemas.depth += 1
 
     def commit(self) -> None:
-        if not self.transactions:
+        """Ends a transaction; with the outermost its changes count. If another session changed one of the same schemas meanwhile, none does and an error is raised."""
+        schemas = self.catalog.schemas
+        if not schemas.depth:
             raise DialectError("no transaction is open")
-        self.transactions.pop()
-        if not self.transactions:
-            self.catalog.drop(f"Temporary_{self.process}")
+        if schemas.depth > 1:
+            schemas.depth -= 1
+            return
+        schemas.end(True)
+        self.catalog.drop(f"Temporary_{self.process}")
 
     def rollback(self) -> None:
-        """Restores what was before the outermost BEGIN."""
-        if not self.transactions:
+        """Forgets what this session changed since the outermost BEGIN; what others changed stays."""
+        if not self.catalog.schemas.depth:
             raise DialectError("no transaction is open")
-        self.catalog.restore(self.transactions[0])
-        self.transactions = []
+        self.catalog.schemas.end(False)
 
     def close(self) -> None:
         """Ends the session: an open transaction is rolled back and temporary schemas go."""
-        if self.transactions:
-            self.rollback()
+        self.catalog.schemas.end(False)
         self.catalog.drop(f"Temporary_{self.process}")
+        self.catalog.sessions.pop(self.process, None)
+        self.closed = True
 
     def cancel(self, process) -> None:
-        self.spark.sparkContext.cancelJobGroup(str(process))
+        """Stops the running jobs of a session's statements; the session goes on."""
+        self.spark.sparkContext.cancelJobGroup(_job_group(process))
+
+    def terminate(self, process) -> None:
+        """Stops a session's jobs and ends it."""
+        self.cancel(process)
+        if (other := self.catalog.sessions.get(int(float(process)))) is not None:
+            other.close()
+
+    def _own(self, frame: DataFrame) -> DataFrame:
+        """The frame, with jobs of this thread counted as this session's from now on."""
+        self.spark.sparkContext.setJobGroup(_job_group(self.process), f"session {self.process} of {self.account}", interruptOnCancel=True)
+        return frame
 
     @property
     def is_administrator(self) -> bool:
@@ -291,9 +320,14 @@ class Engine:
         return f"Temporary_{self.process}:{path[1:]}" if path.startswith("#") else path
 
     def _run(self, statement) -> QueryResult:
+        if self.closed:
+            raise DialectError("the session has ended")
         started = time.monotonic()
-        self.counters["statements"] += 1
+        kind = statement.verb if isinstance(statement, Statement) else type(statement).__name__.lower()
+        if self.configuration.get("healthmonitoringenabled", True):
+            self.counters.update(("statements", f"statements: {kind}"))
         self.messages = []
+        self._own(None)
         if isinstance(statement, Statement):
             result = self._other(statement)
         else:
@@ -302,6 +336,11 @@ class Engine:
             result = {Select: self._select, Insert: self._insert, Update: self._update, Delete: self._delete}[type(statement)](statement)
         result.messages += self.messages
         result.seconds = time.monotonic() - started
+        if self.configuration.get("healthmonitoringenabled", True):
+            self.counters[f"milliseconds: {kind}"] += round(1000 * result.seconds)
+            self.counters["rows changed"] += result.affected or 0
+        if self.settings.get("tracewaittimes"):
+            result.messages.append(f"{kind}: {1000 * result.seconds:.0f} ms until its rows can be asked for")
         return result
 
     def _select(self, select: Select) -> QueryResult:
@@ -392,6 +431,11 @@ class Engine:
         if run is None:
             raise DialectError(f"{s.verb.upper()} is not supported")
         s.path = self._real(s.path)
+        known = CONFIGURATION if s.verb == "alter configuration" else OPTIONS.get(s.verb, {})
+        for name, node in s.options.items():
+            if name not in known:
+                raise DialectError(f"{s.verb.upper()} has no option {name!r}")
+            s.options[name] = self._option(name, node, known[name])
         return run(s) or QueryResult(affected=0)
 
     def _constant(self, node):
@@ -401,6 +445,23 @@ class Engine:
             return value.literal
         return self.spark.range(1).select(value.column).first()[0]
 
+    def _option(self, name: str, node, kind: type):
+        """An option's node, with a constant of its type in it; what does not read as one is an error."""
+        value = self._constant(node)
+        if kind is int:
+            try:
+                number = float(value)
+            except (TypeError, ValueError):
+                number = 0.5
+            if not number.is_integer() or number < 1:
+                raise DialectError(f"{name!r} takes a whole number above 0, not {value!r}")
+            return Number(number, str(int(number)))
+        if kind is bool:
+            if str(value).lower() not in ("0", "1", "0.0", "1.0", "true", "false"):
+                raise DialectError(f"{name!r} takes true or false, not {value!r}")
+            return Number(float(str(value).lower() in ("1", "1.0", "true")), str(value))
+        return node
+
     def _rows(self, fields: list[str], rows: list[tuple]) -> QueryResult:
         if not fields:
             return QueryResult(affected=0)
@@ -469,9 +530,10 @@ class Engine:
 
     def _do_analyze_schema(self, s):
         self._permit("read", s.path)
-        from papyrion.operators.maintenance import analyze_schema
+        from papyrion.operators.maintenance import analyze_pages, analyze_schema
 
-        frame = analyze_schema(self.catalog.frame(s.path), self.catalog.get(s.path).page_size)
+        pages = s.options.get("includephysicalpages")
+        frame = (analyze_pages if pages is not None and pages.value else analyze_schema)(self.catalog.frame(s.path), self.catalog.get(s.path).page_size)
         return QueryResult(frame, frame.columns)
 
     def _do_list_documents(self, s):
@@ -509,11 +571,17 @@ class Engine:
         node = s.values[0]
         value = self._constant(node) if not hasattr(node, "alias") else node.name
         self.settings[s.name] = str(value).lower() in ("1", "true", "on")
+        self.catalog.schemas.dirty = bool(self.settings.get("readuncommitted"))
 
     def _do_alter_configuration(self, s):
         self._administrate()
         for name, node in s.options.items():
-            self.configuration[name] = self._constant(node)
+            value = bool(node.value) if CONFIGURATION[name] is bool else int(node.value)
+            self.configuration[name] = value
+            if name == "defaultdocumentpagesize":
+                self.catalog.page_size = value
+            elif name == "shufflepartitions":
+                self.spark.conf.set("spark.sql.shuffle.partitions", value)
 
     def _do_exec(self, s):
         fields, rows = system.run(self, s.name, [self._constant(a) for a in s.values])
@@ -521,7 +589,7 @@ class Engine:
 
     def _do_kill(self, s):
         self._administrate()
-        self.cancel(int(float(self._constant(s.values[0]))))
+        self.terminate(self._constant(s.values[0]))
 
     def _do_create_account(self, s):
         self._administrate()
@@ -564,10 +632,14 @@ class Engine:
         self.policies.revoke(s.name, s.path, s.names[0])
 
     def session(self, account: str) -> Engine:
-        """Another session over the same catalog. A rollback restores the whole catalog, also what other sessions changed meanwhile."""
+        """Another session over the same schemas, with variables, settings and transactions of its own."""
         return Engine(self.spark, self.document, self.storage, account, self.catalog, self.policies, self.sticky_sort, self.null_keys)
 
 
+def _job_group(process) -> str:
+    return f"papyrion session {int(float(process))}"
+
+
 def _written(node) -> str:
     """An expression as text."""
     if isinstance(node, Chain):

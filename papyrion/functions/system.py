@@ -34,13 +34,13 @@ def _cancel(engine, process):
 
 @_register("Terminate", [], 1)
 def _terminate(engine, process):
-    engine.cancel(process)
+    engine.terminate(process)
     return []
 
 
 @_register("CheckpointHealthCounters", [])
 def _checkpoint_counters(engine):
-    engine.saved_counters = dict(engine.counters)
+    engine.saved_counters = dict(engine.counters)  # ShowHealthCounters tells what came since
     return []
 
 
@@ -50,9 +50,10 @@ def _clear_counters(engine):
     return []
 
 
-@_register("ShowHealthCounters", ["Counter", "Value"])
+@_register("ShowHealthCounters", ["Counter", "Value", "SinceCheckpoint"])
 def _show_counters(engine):
-    return sorted((k, str(v)) for k, v in engine.counters.items())
+    saved = getattr(engine, "saved_counters", {})
+    return sorted((k, str(v), str(v - saved.get(k, 0))) for k, v in engine.counters.items())
 
 
 @_register("ClearCacheAllocations", [])
@@ -93,13 +94,24 @@ def _show_system(engine):
     return sorted((n, str(p), str(a)) for n, p, a, _, _ in REGISTRY.values())
 
 
+def _sessions(engine, process=None) -> list:
+    """All sessions over the engine's schemas, or the one with a process id."""
+    return [s for p, s in sorted(engine.catalog.sessions.items()) if process is None or p == int(float(process))]
+
+
+@_register("ShowLocks", ["ProcessId", "Granularity", "Operation", "Object"], 1)
+def _show_locks(engine, process=None):
+    """What open transactions have changed: these schemas are theirs until they end."""
+    return [(str(s.process), "Schema", "Write" if schema is not None else "Delete", key) for s in _sessions(engine, process) for key, schema in sorted(s.catalog.schemas.local.items())]
+
+
 def _nothing(engine, process=None):
-    """Snapshots need no locks, so there never are any."""
+    """No session waits for another: readers see what is committed, and the later of two writers is refused at its commit."""
     return []
 
 
-for _name, _fields in (("ShowBlocks", ["ProcessId", "BlockedBy"]), ("ShowLocks", ["ProcessId", "Granularity", "Operation", "Object"]), ("ShowWaitingLocks", ["ProcessId", "Granularity", "Operation", "Object"])):
-    _register(_name, _fields, 1)(_nothing)
+_register("ShowBlocks", ["ProcessId", "BlockedBy"], 1)(_nothing)
+_register("ShowWaitingLocks", ["ProcessId", "Granularity", "Operation", "Object"], 1)(_nothing)
 _register("ShowBlockTree", ["Tree"])(_nothing)
 
 
@@ -127,12 +139,12 @@ def _show_policy(engine, path):
 
 @_register("ShowProcesses", ["ProcessId", "Account", "Statements", "InTransaction"], 1)
 def _show_processes(engine, process=None):
-    return [(str(engine.process), engine.account, str(engine.counters.get("statements", 0)), str(bool(engine.transactions)))]
+    return [(str(s.process), s.account, str(s.counters.get("statements", 0)), str(s.catalog.schemas.depth > 0)) for s in _sessions(engine, process)]
 
 
 @_register("ShowTransactions", ["ProcessId", "Depth", "Schemas"], 1)
 def _show_transactions(engine, process=None):
-    return [(str(engine.process), str(i + 1), str(len(s.schemas))) for i, s in enumerate(engine.transactions)]
+    return [(str(s.process), str(s.catalog.schemas.depth), str(len(s.catalog.schemas.local))) for s in _sessions(engine, process) if s.catalog.schemas.depth]
 
 
 @_register("ShowThreadPools", ["Pool", "Threads"])

@@ -30,3 +30,17 @@ def analyze_schema(frame: DataFrame, page_size: int) -> DataFrame:
     length = F.length(F.to_json(F.struct(*fields))) if fields else F.lit(2)
     out = frame.select(length.alias("n")).agg(F.count("n").alias("documents"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), F.avg("n").alias("avg_length"))
     return out.select("documents", F.ceil(F.col("documents") / F.lit(page_size)).alias("pages"), F.lit(page_size).alias("page_size"), "min_length", "max_length", "avg_length")
+
+
+def analyze_pages(frame: DataFrame, page_size: int) -> DataFrame:
+    """One row per page of a table: (`partition`, `page`, `documents`, `min_length`, `max_length`, `avg_length`).
+
+    A page is `page_size` documents that follow each other in one partition of the scan; the last may hold
+    fewer. Nothing is sorted or moved but one state per page. An empty table gives no rows.
+    """
+    fields = [F.col(f"`{c}`") for c in frame.columns]
+    length = F.length(F.to_json(F.struct(*fields))) if fields else F.lit(2)
+    rows = frame.select(length.alias("n"), F.monotonically_increasing_id().alias("at"))
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    keys = F.shiftright("at", 33).cast("int").alias("partition"), F.floor(within / F.lit(page_size)).cast("bigint").alias("page")
+    return rows.groupBy(*keys).agg(F.count("n").alias("documents"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), F.avg("n").alias("avg_length"))

@@ -16,6 +16,32 @@ from papyrion.plans.scope import Scope
 #: Operators from the loosest to the tightest.
 LEVELS = ("|", "^", "&", "+-", "*/%")
 
+#: Spellings of a text's beginning that are tested at most.
+MOST_FORMS = 8
+#: Characters beyond ASCII whose lower case begins with an ASCII letter.
+_OTHER_CASES = {"k": ("\u212a",), "i": ("\u0130",)}
+
+
+def fields_in(node) -> list[Field]:
+    """All fields of an expression or condition."""
+    if isinstance(node, Field):
+        return [node]
+    if isinstance(node, Call):
+        parts = node.args
+    elif isinstance(node, Chain):
+        parts = node.operands
+    elif isinstance(node, Group):
+        parts = (node.inner,)
+    elif isinstance(node, Unary):
+        parts = (node.operand,)
+    elif isinstance(node, Compare):
+        parts = (node.left, node.right, node.upper)
+    elif isinstance(node, Logic):
+        parts = node.parts
+    else:
+        parts = ()
+    return [f for p in parts for f in fields_in(p)]
+
 
 def aggregates_in(node) -> list[Call]:
     """The outermost aggregate calls of an expression, in order."""
@@ -200,7 +226,7 @@ class Lowering:
             return inside if node.operator == "between" else ~inside
         right = self.value(node.right)
         if node.operator == "=":
-            return self._equal(left, right)
+            return self._equal(left, right, node)
         if node.operator == "!=":
             return self._different(left, right)
         if node.operator in ("like", "not like"):
@@ -208,6 +234,8 @@ class Lowering:
                 matched = F.ilike(text(left), F.lit(right.literal.replace("\\", "\\\\")))
             else:
                 matched = scalar.like(text(left), text(right))
+            if node.operator == "like" and (begins := self._begins(node.left, left, right, False)) is not None:
+                return begins & matched
             return matched if node.operator == "like" else ~matched
         return self._ordered(node.operator, left, right)
 
@@ -231,14 +259,38 @@ class Lowering:
                 return moment(left), moment(right)
         return _folded(left), _folded(right)
 
-    def _equal(self, left: Value, right: Value) -> Column:
+    def _equal(self, left: Value, right: Value, node: Compare) -> Column:
         if "null" in (left.kind, right.kind):
             return left.column.isNull() if right.kind == "null" else right.column.isNull()
         a, b = self._sides(left, right)
-        if left.literal is not None or right.literal is not None or not self.null_equal:
-            return a == b  # with a constant the same rows as the null-safe form, and it can be pushed to the scan
+        if left.literal is not None or right.literal is not None:  # with a constant the same rows as the null-safe form, and it can be pushed to the scan
+            begins = self._begins(node.left, left, right, True) if right.literal is not None else self._begins(node.right, right, left, True)
+            return a == b if begins is None else begins & (a == b)
+        if not self.null_equal or self.scope.never_null(node.right) or self.scope.never_null(node.left):
+            return a == b  # a null on one side only matches nothing anyway
         return a.eqNullSafe(b)
 
+    def _begins(self, node, value: Value, other: Value, whole: bool) -> Column | None:
+        """What a text field must begin with (or be, with `whole`) to match a constant without case: a test on the bare field, which reaches the scan."""
+        if not (isinstance(node, Field) and value.kind == "string" and isinstance(other.literal, str)) or self.replaced or self.outside:
+            return None
+        forms, n = [""], 0
+        for ch in other.literal:
+            if not ch.isascii() or (not whole and ch in "%_\\"):
+                break
+            spelt = [ch.lower(), ch.upper(), *_OTHER_CASES.get(ch.lower(), ())] if ch.isalpha() else [ch]
+            if len(forms) * len(spelt) > MOST_FORMS:
+                break
+            forms, n = [f + c for f in forms for c in spelt], n + 1
+        if not n:
+            return None
+        if whole and n == len(other.literal):
+            return value.column.isin(*forms)
+        out = value.column.startswith(forms[0])
+        for form in forms[1:]:
+            out = out | value.column.startswith(form)
+        return out
+
     def _different(self, left: Value, right: Value) -> Column:
         if "null" in (left.kind, right.kind):
             return left.column.isNotNull() if right.kind == "null" else right.column.isNotNull()

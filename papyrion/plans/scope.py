@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.dialect.lexer import DialectError
+from papyrion.dialect.nodes import Field
 from papyrion.functions.values import Value, kind_of_type, literal
+from papyrion.sources.catalog import never_null
 
 
 @dataclass
@@ -21,6 +23,8 @@ class Scope:
     shown: dict[str, list[str]] = field(default_factory=dict)  # alias -> names as written
     missing: list[str] = field(default_factory=list)
     null_keys: bool = True  # whether null equals null between fields in a join
+    frames: dict[str, tuple[DataFrame, dict[str, str]]] = field(default_factory=dict)  # alias -> the source, field in lower case -> its name there
+    extended: set[str] = field(default_factory=set)  # aliases whose rows may be all null, as they are joined by OUTER JOIN
 
     def add(self, alias: str, frame: DataFrame) -> DataFrame:
         key = alias.lower()
@@ -33,6 +37,7 @@ class Scope:
             own.setdefault(f.name.lower(), (name, kind_of_type(f.dataType, self.document)))
         self.fields[key] = own
         self.shown[key] = [f.name for f in frame.schema.fields]
+        self.frames[key] = (frame, {n.lower(): n for n in reversed(frame.columns)})
         return frame.toDF(*columns) if columns else frame
 
     def value(self, alias: str, name: str) -> Value:
@@ -46,6 +51,16 @@ class Scope:
         self.missing.append(f"{alias}.{name}" if alias else name)
         return Value(F.lit(None).cast("string"), "null")
 
+    def never_null(self, node) -> bool:
+        """Whether a field's values in the joined rows surely hold no null."""
+        if not isinstance(node, Field):
+            return False
+        for alias in [node.alias.lower()] if node.alias else self.fields:
+            if alias in self.frames and node.name.lower() in self.frames[alias][1]:
+                frame, names = self.frames[alias]
+                return alias not in self.extended and never_null(frame, names[node.name.lower()])
+        return False
+
     def knows(self, alias: str, name: str) -> bool:
         return any(name.lower() in self.fields.get(a, {}) for a in ([alias.lower()] if alias else self.fields))
 

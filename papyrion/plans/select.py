@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.dialect.lexer import DialectError
-from papyrion.dialect.nodes import Call, Chain, Field, Group, Named, Number, Select, SelectField, Source, Star, Text, Unary, Variable
+from papyrion.dialect.nodes import Call, Chain, Compare, Field, Group, Logic, Named, Number, Select, SelectField, Source, Star, Text, Unary, Variable
 from papyrion.functions import aggregate
 from papyrion.functions.values import Value, number, text
-from papyrion.plans.expressions import Lowering, aggregates_in, simplified
+from papyrion.plans.expressions import Lowering, aggregates_in, fields_in, simplified
 from papyrion.plans.scope import Scope
-from papyrion.sources.catalog import Catalog
+from papyrion.sources.catalog import Catalog, never_null
 
 
 @dataclass
@@ -25,8 +25,11 @@ class Output:
     missing: list[str]
 
 
-def joined(catalog: Catalog, sources: list[Source], scope: Scope, row_ids: dict[str, str] | None = None) -> DataFrame:
-    """The sources joined in the order of the text; Catalyst may reorder them. `row_ids` names a column to number rows by, per alias."""
+def joined(catalog: Catalog, sources: list[Source], scope: Scope, row_ids: dict[str, str] | None = None, absent: frozenset[str] = frozenset()) -> DataFrame:
+    """The sources joined in the order of the text; Catalyst may reorder them.
+
+    `row_ids` names a column to number rows by, per alias; of the aliases in `absent` no row may match.
+    """
     df: DataFrame | None = None
     scope.written = [s.alias for s in sources]
     for source in sources:
@@ -37,7 +40,10 @@ def joined(catalog: Catalog, sources: list[Source], scope: Scope, row_ids: dict[
         if df is None:
             df = right
         else:
-            df = df.join(right, Lowering(scope, null_equal=scope.null_keys).condition(source.on), "inner" if source.join == "inner" else "left")
+            kind = "inner" if source.join == "inner" else "left_anti" if source.alias.lower() in absent else "left"
+            df = df.join(right, Lowering(scope, null_equal=scope.null_keys).condition(source.on), kind)
+            if kind == "left":
+                scope.extended.add(source.alias.lower())
     return df
 
 
@@ -54,9 +60,10 @@ def limit_of(node, scope: Scope) -> int | None:
 def build(catalog: Catalog, select: Select, variables: dict, document: bool = False, sticky_sort: bool = False, null_keys: bool = True) -> Output:
     """The plan of a SELECT. Nothing runs."""
     scope = Scope(document, variables, null_keys=null_keys)
-    df = joined(catalog, select.sources, scope)
-    if select.where is not None:
-        df = df.where(Lowering(scope).condition(select.where))
+    absent, where = _absent(catalog, select)
+    df = joined(catalog, select.sources, scope, absent=absent)
+    if where is not None:
+        df = df.where(Lowering(scope).condition(where))
     fields = _named(select.fields, scope)
     sorts = select.order_by
     calls = {simplified(c): c for node in [f for _, f in fields] + [s.value for s in sorts] for c in aggregates_in(node)}
@@ -87,6 +94,39 @@ def build(catalog: Catalog, select: Select, variables: dict, document: bool = Fa
     return Output(df.toDF(*names), names, list(dict.fromkeys(scope.missing)))
 
 
+def _absent(catalog: Catalog, select: Select) -> tuple[frozenset[str], object]:
+    """(aliases joined by OUTER JOIN that the WHERE wants unmatched and nothing else uses, the rest of the WHERE).
+
+    `OUTER JOIN b ... WHERE IsNull(b.f) = true` keeps exactly the rows without a match if `b.f` itself is never null.
+    """
+    where = select.where
+    parts = list(where.parts) if isinstance(where, Logic) and where.operator == "and" else [where]
+    absent = set()
+    for part in parts:
+        tests = isinstance(part, Compare) and part.operator == "=" and isinstance(part.left, Call) and part.left.name == "isnull" and len(part.left.args) == 1 and part.right in (Named("true"), Number(1.0, "1"))
+        field = part.left.args[0] if tests else None
+        if not isinstance(field, Field) or not field.alias:
+            continue
+        alias = field.alias.lower()
+        source = next((s for s in select.sources[1:] if s.alias.lower() == alias and s.join != "inner"), None)
+        if source is None or alias in absent:
+            continue
+        others = [n for f in select.fields if not isinstance(f, Star) for n in fields_in(f.value)] + [n for p in parts if p is not part for n in fields_in(p)]
+        others += [n for s in select.sources if s is not source and s.on is not None for n in fields_in(s.on)] + [n for g in select.group_by for n in fields_in(g)] + [n for o in select.order_by for n in fields_in(o.value)]
+        stars = any(isinstance(f, Star) and (f.alias or alias).lower() == alias for f in select.fields)
+        if stars or any(not n.alias or n.alias.lower() == alias for n in others):
+            continue
+        frame = catalog.frame(source.path)
+        name = next((c for c in frame.columns if c.lower() == field.name.lower()), None)
+        if name is not None and never_null(frame, name):
+            absent.add(alias)
+            parts = [p for p in parts if p is not part]
+    if not absent:
+        return frozenset(), where
+    rest = None if not parts else parts[0] if len(parts) == 1 else Logic("and", tuple(parts))
+    return frozenset(absent), rest
+
+
 def _named(fields: list, scope: Scope) -> list[tuple[str, object]]:
     """(output name, expression) of the select list: an alias, a field's bare name, or Expression0, Expression1, ..."""
     out, unnamed = [], 0

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from copy import copy
+import weakref
+from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +39,87 @@ def normal(path: str) -> str:
     return path.strip().strip(":").lower()
 
 
+class Overlay(MutableMapping):
+    """One session's view of the shared schemas: outside a transaction a window, inside one its changes stay here.
+
+    `local` holds what the open transaction wrote (None for what it dropped), `seen` what was there before. A
+    commit succeeds if all that is still there; else another session came first. With `dirty` on,
+    reading also sees what other sessions have not committed yet.
+    """
+
+    def __init__(self, shared: dict[str, Schema], others: weakref.WeakSet) -> None:
+        self.shared, self.others = shared, others
+        self.depth, self.dirty = 0, False
+        self.local: dict[str, Schema | None] = {}
+        self.seen: dict[str, Schema | None] = {}
+        others.add(self)
+
+    __hash__ = object.__hash__
+
+    def _found(self, key: str) -> Schema | None:
+        if key in self.local:
+            return self.local[key]
+        if self.dirty:
+            for other in self.others:
+                if key in other.local:
+                    return other.local[key]
+        return self.shared.get(key)
+
+    def __getitem__(self, key: str) -> Schema:
+        found = self._found(key)
+        if found is None:
+            raise KeyError(key)
+        return found
+
+    def _put(self, key: str, schema: Schema | None) -> None:
+        if self.depth:
+            if key not in self.local:
+                self.seen[key] = self.shared.get(key)
+            self.local[key] = schema
+        elif schema is None:
+            self.shared.pop(key, None)
+        else:
+            self.shared[key] = schema
+
+    def __setitem__(self, key: str, schema: Schema) -> None:
+        self._put(key, schema)
+
+    def __delitem__(self, key: str) -> None:
+        self._put(key, None)
+
+    def __iter__(self) -> Iterator[str]:
+        keys = {**self.shared, **self.local, **({k: v for o in self.others for k, v in o.local.items()} if self.dirty else {})}
+        return (k for k in keys if self._found(k) is not None)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def end(self, keep: bool) -> None:
+        """Ends the transaction; with `keep` its changes become everybody's, or none does."""
+        local, seen = self.local, self.seen
+        self.depth, self.local, self.seen = 0, {}, {}
+        if not keep:
+            return
+        if late := sorted(k for k, v in seen.items() if self.shared.get(k) is not v):
+            raise DialectError(f"another session has changed {', '.join(map(repr, late))}; the transaction is rolled back")
+        for key, schema in local.items():
+            self._put(key, schema)
+
+
 class Catalog:
-    """Schemas by path (`a:b:c`, case ignored). Copies are cheap: frames are never changed in place."""
+    """Schemas by path (`a:b:c`, case ignored), as one session sees them. Frames are never changed in place."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, shared: Catalog | None = None) -> None:
         self.spark = spark
-        self.schemas: dict[str, Schema] = {}
-        self.put("Single", spark.createDataFrame([(None,)], T.StructType([T.StructField("value", T.StringType())])))
-
-    def snapshot(self) -> Catalog:
-        other = copy(self)
-        other.schemas = dict(self.schemas)
-        return other
+        self.sessions: weakref.WeakValueDictionary = shared.sessions if shared else weakref.WeakValueDictionary()
+        self.page_size = shared.page_size if shared else DEFAULT_PAGE_SIZE
+        self.schemas = Overlay(shared.schemas.shared, shared.schemas.others) if shared else Overlay({}, weakref.WeakSet())
+        if not shared:
+            self.put("Single", spark.createDataFrame([(None,)], T.StructType([T.StructField("value", T.StringType())])))
 
-    def restore(self, snapshot: Catalog) -> None:
-        self.schemas.clear()
-        self.schemas.update(snapshot.schemas)
+    def view(self) -> Catalog:
+        """The same schemas for another session."""
+        return Catalog(self.spark, self)
 
     def create(self, path: str, page_size: int | None = None) -> None:
         """Creates a schema and its parents; an existing one stays as it is."""
@@ -61,7 +127,7 @@ class Catalog:
         for i in range(1, len(parts) + 1):
             part = ":".join(parts[:i])
             if normal(part) and normal(part) not in self.schemas:
-                self.schemas[normal(part)] = Schema(part, page_size=page_size or DEFAULT_PAGE_SIZE)
+                self.schemas[normal(part)] = Schema(part, page_size=page_size or self.page_size)
 
     def exists(self, path: str) -> bool:
         return normal(path) in self.schemas or normal(path) == ""
@@ -95,3 +161,27 @@ class Catalog:
         """The table of a schema; one that has none yet has no rows and no fields."""
         schema = self.get(path)
         return schema.frame if schema.frame is not None else self.spark.createDataFrame([], T.StructType([]))
+
+
+#: (files as they lie there, column) -> whether the column holds no null; what was looked up in this process.
+_NULL_FREE: dict[tuple[str, str], bool] = {}
+
+
+def never_null(frame: DataFrame, column: str) -> bool:
+    """Whether a column surely holds no null: by its type, or, for a table read straight from files, by a look.
+
+    The look asks the files for one row with a null there, which Parquet answers from its statistics where
+    there is none; it is kept for as long as the files are the same. Of other frames nothing is run, and False is given.
+    """
+    if frame.isStreaming:
+        return False
+    if not frame.schema[column].nullable:
+        return True
+    plan = frame._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    files = plan.relation().location().allFiles().toString()  # names, sizes and times
+    key = (str(hash(files)) + files[:200], column)
+    if key not in _NULL_FREE:
+        _NULL_FREE[key] = frame.where(frame[f"`{column}`"].isNull()).select(f"`{column}`").isEmpty()
+    return _NULL_FREE[key]

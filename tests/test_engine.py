@@ -215,8 +215,13 @@ def test_session_statements_and_system_functions(engine):
         engine.sql(f"EXEC {name}()").collect()
     for name in ("CheckpointHealthCounters()", "ClearHealthCounters()", "ClearCacheAllocations()", "ReleaseCacheAllocations()", "Sleep(1)", "Cancel(9)", "Terminate(9)", "ShowVersion(true)", "ShowMySchemaPolicy('ERP')", "ShowSchemaPolicy('ERP')"):
         engine.execute(f"EXEC {name}")
-    engine.execute("ALTER CONFIGURATION WITH (Depth = 3) KILL 9")
-    assert engine.configuration == {"depth": 3}
+    engine.execute("ALTER CONFIGURATION WITH (DefaultDocumentPageSize = 30, HealthMonitoringEnabled = false) CREATE SCHEMA Paged KILL 999999")
+    assert engine.configuration == {"defaultdocumentpagesize": 30, "healthmonitoringenabled": False} and engine.catalog.get("Paged").page_size == 30
+    engine.execute("ALTER CONFIGURATION WITH (HealthMonitoringEnabled = true) SET TraceWaitTimes true")
+    assert "select: " in engine.execute("SELECT 1 FROM Single")[0].messages[0] and engine.counters["statements: select"] > 0
+    for bad in ("ALTER CONFIGURATION WITH (Depth = 3)", "CREATE SCHEMA x WITH (PageSize = 'a')", "CREATE SCHEMA x WITH (PageSize = 0)", "CREATE SCHEMA x WITH (Partitions = 3)", "ANALYZE SCHEMA ERP WITH (IncludePhysicalPages = 7)"):
+        with pytest.raises(DialectError):
+            engine.execute(bad)
     for bad in ("SET Nope 1", "EXEC Nope()", "SELECT @nope FROM Single", "SELECT z.a FROM ERP:Person AS p", "CREATE PROCEDURE x"):
         with pytest.raises(DialectError):
             engine.execute(bad)
@@ -307,3 +312,86 @@ def test_null_keys_in_joins(spark):
         e.register("A", spark.createDataFrame([(1, 1), (None, 2)], "k int, v int"))
         e.register("B", spark.createDataFrame([(1, 1), (None, 2)], "k int, w int"))
         assert e.sql(text_).count() == n
+
+
+def test_two_sessions(engine):
+    other = engine.session("admin")
+    count = lambda e: len(text(e, "SELECT PersonID FROM ERP:Person"))
+    engine.execute("BEGIN TRANSACTION DELETE FROM ERP:Person WHERE PersonID = 1")
+    assert (count(engine), count(other)) == (4, 5)
+    assert text(other, "EXEC ShowLocks()") == [(str(engine.process), "Schema", "Write", "erp:person")]
+    assert text(other, "EXEC ShowTransactions()") == [(str(engine.process), "1", "1")]
+    assert {r[0] for r in text(other, "EXEC ShowProcesses()")} >= {str(engine.process), str(other.process)}
+    other.execute("SET ReadUncommitted true")
+    assert count(other) == 4
+    other.execute("SET ReadUncommitted false INSERT INTO Elsewhere (x) VALUES (1)")
+    engine.execute("ROLLBACK TRANSACTION")
+    assert count(engine) == count(other) == 5 and len(text(engine, "SELECT x FROM Elsewhere")) == 1  # what the other session did stays
+    engine.execute("BEGIN TRANSACTION DELETE FROM ERP:Person WHERE PersonID = 1")
+    other.execute("DELETE FROM ERP:Person WHERE PersonID = 2")
+    with pytest.raises(DialectError):
+        engine.execute("COMMIT TRANSACTION")
+    assert count(engine) == count(other) == 4
+    other.execute(f"KILL {engine.process}")
+    with pytest.raises(DialectError):
+        engine.execute("SELECT 1 FROM Single")
+
+
+def test_kill_stops_a_running_query(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    engine = Engine(spark)
+    engine.register("Slow", spark.range(0, 4, 1, 4).select(F.expr("java_method('java.lang.Thread', 'sleep', 60000L + id)").alias("x"), "id"))
+    failed = []
+
+    def work():
+        try:
+            engine.fetch("SELECT x FROM Slow")
+        except Exception as error:
+            failed.append(error)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    time.sleep(4)
+    started = time.monotonic()
+    engine.session("admin").execute(f"EXEC Cancel({engine.process})")
+    thread.join(40)
+    assert failed and time.monotonic() - started < 40 and engine.scalar("SELECT 1 FROM Single") == 1
+
+
+def test_bare_keys_anti_joins_and_pushed_text_filters(spark, tmp_path):
+    spark.createDataFrame([(1, "Kilo"), (2, "\u212aILO"), (3, "kilometre"), (4, None), (5, "\u0130x"), (6, "%a"), (None, "kilo")], "id int, name string").write.parquet(str(tmp_path / "a.parquet"))
+    spark.createDataFrame([(1, 10), (3, 30), (3, 31)], "aid int, v int").write.parquet(str(tmp_path / "b.parquet"))
+    spark.createDataFrame([(1, 10), (None, 30)], "aid int, v int").write.parquet(str(tmp_path / "c.parquet"))
+    engine = Engine(spark)
+    engine.register_folder(str(tmp_path), ["a", "b", "c"])
+    plan = lambda q: engine.explain_plan(q)
+    ids = lambda q: sorted((r[0] for r in engine.sql(q).collect()), key=lambda x: (x is not None, x))
+    inner = "SELECT a.id FROM a AS a INNER JOIN {} AS b ON b.aid = a.id"
+    assert "coalesce" not in plan(inner.format("b")) and "IsNotNull(id)" in plan(inner.format("b")) and ids(inner.format("b")) == [1, 3, 3]
+    assert "<=>" in plan(inner.format("c")) or "coalesce" in plan(inner.format("c"))
+    assert ids(inner.format("c")) == [None, 1]  # a null key matches null keys
+    anti = "SELECT a.id FROM a AS a OUTER JOIN {} AS b ON b.aid = a.id WHERE IsNull(b.{}) = true AND a.id != 6"
+    assert "LeftAnti" in plan(anti.format("b", "v")) and ids(anti.format("b", "v")) == [None, 2, 4, 5]
+    assert "LeftAnti" not in plan(anti.format("c", "aid")) and ids(anti.format("c", "aid")) == [None, 2, 3, 4, 5]
+    assert "LeftAnti" not in plan("SELECT a.id, b.v FROM a AS a OUTER JOIN b AS b ON b.aid = a.id WHERE IsNull(b.v) = true")
+    after = "SELECT a.id FROM a AS a OUTER JOIN b AS b ON b.aid = a.id INNER JOIN b AS d ON d.v = b.v"
+    assert ids(after) == [1, 3, 3]
+    assert ids("SELECT id FROM a WHERE name = 'KILO'") == [None, 1, 2] and "StringStartsWith(name" in plan("SELECT id FROM a WHERE name = 'KILO'")
+    assert ids("SELECT id FROM a WHERE name LIKE 'kilo%'") == [None, 1, 2, 3] and ids("SELECT id FROM a WHERE name LIKE 'i%x'") == [5]
+    assert ids("SELECT id FROM a WHERE name LIKE '%a'") == [6] and ids("SELECT id FROM a WHERE name NOT LIKE 'k%'") == [5, 6]
+    assert "In(name, [" in plan("SELECT id FROM a WHERE name = 'K'") and ids("SELECT id FROM a WHERE name = ''") == []
+
+
+def test_pages_and_samples(spark):
+    engine = Engine(spark)
+    engine.store("T", [{"a": i} for i in range(25)])
+    engine.execute("ALTER SCHEMA T WITH (PageSize = 4)")
+    pages = engine.fetch("ANALYZE SCHEMA T WITH (IncludePhysicalPages = true)")
+    assert sum(p["documents"] for p in pages) == 25 and max(p["documents"] for p in pages) <= 4
+    assert engine.fetch("ANALYZE SCHEMA T WITH (IncludePhysicalPages = false)")[0]["documents"] == 25
+    assert len(engine.sample("T", 60).collect()) == 60 and engine.sample("T", 0).collect() == [] and engine.sample("Single", 5).count() == 5
+    assert len({r[0] for r in engine.sample("T", 200).collect()}) == 25
