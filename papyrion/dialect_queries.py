@@ -113,12 +113,14 @@ BATCHES: dict[str, tuple[str, str | None]] = {
     "distinct_ci": ("SELECT DISTINCT IIF(IsGreater(c_acctbal, 0), ToUpper(c_mktsegment), ToLower(c_mktsegment)) AS segment FROM customer", "SELECT min(s) AS segment FROM (SELECT CASE WHEN c_acctbal > 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END AS s FROM customer) GROUP BY lower(s)"),
     # scalar functions
     "fn_string": ("SELECT p_partkey, ToUpper(p_name) AS a, ToLower(p_brand) AS b, Length(p_name) AS c, Left(p_name, 3) AS d, Right(p_name, 3) AS e, Concat(p_brand, '-', p_size, null) AS f, Trim(p_brand, 'B#4') AS g, Trim('  x ') AS h FROM part", "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, length(p_name)::INTEGER AS c, left(p_name, 3) AS d, right(p_name, 3) AS e, concat(p_brand, '-', p_size) AS f, trim(p_brand, 'B#4') AS g, 'x' AS h FROM part"),
-    "fn_to_proper": ("SELECT n_nationkey, ToProper(Concat('the ', n_name, ' of')) AS proper FROM nation", None),
+    "fn_to_proper": ("SELECT n_nationkey, ToProper(Concat('the ', n_name, ' of')) AS proper FROM nation", "SELECT n_nationkey, list_aggregate(list_transform(string_split('the ' || n_name || ' of', ' '), lambda w: CASE WHEN length(w) > 1 AND upper(w) = w AND lower(w) <> w THEN w ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS proper FROM nation"),
     "fn_substring_index": ("SELECT p_partkey, SubString(p_type, 2, 4) AS a, IndexOf('E', p_type) AS b, LastIndexOf('e', p_type) AS c, IndexOf('no such', p_type) AS d FROM part", "SELECT p_partkey, substr(p_type, 3, 4) AS a, (strpos(lower(p_type), 'e') - 1)::INTEGER AS b, (CASE WHEN strpos(reverse(lower(p_type)), 'e') = 0 THEN -1 ELSE length(p_type) - strpos(reverse(lower(p_type)), 'e') END)::INTEGER AS c, -1 AS d FROM part"),
     "fn_math": ("SELECT c_custkey, Abs(c_acctbal) AS a, Ceil(c_acctbal) AS b, Floor(c_acctbal) AS c, Pow(c_nationkey, 2) AS d, ToNumeric('12.5') AS e, c_nationkey % 7 AS f, 7 / 2 AS g FROM customer", "SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal) AS b, floor(c_acctbal) AS c, pow(c_nationkey, 2) AS d, 12.5::DOUBLE AS e, (c_nationkey % 7)::DOUBLE AS f, 3.5::DOUBLE AS g FROM customer"),
     "fn_round_bankers": ("SELECT p_partkey, Round(p_size / 2) AS a, Round(p_retailprice, 1) AS b FROM part", "SELECT p_partkey, round_even((p_size / 2)::DECIMAL(38,12), 0)::DOUBLE AS a, round_even(p_retailprice::DECIMAL(38,12), 1)::DOUBLE AS b FROM part"),
     "fn_date_add": ("SELECT o_orderkey, DateAdd(o_orderdate, 'Month', 1) AS a, DateAdd(o_orderdate, 'day', -10) AS b, DateAdd(o_orderdate, 'qq', 2) AS c, DateAdd(o_orderdate, 'hh', 36) AS d, DateAdd(o_orderdate, 'year', 1) AS e, DateAdd(o_orderdate, 'ww', 1) AS f FROM orders", "SELECT o_orderkey, date_trunc('second', o_orderdate + INTERVAL 1 MONTH) AS a, date_trunc('second', o_orderdate - INTERVAL 10 DAY) AS b, date_trunc('second', o_orderdate + INTERVAL 6 MONTH) AS c, date_trunc('second', o_orderdate + INTERVAL 36 HOUR) AS d, date_trunc('second', o_orderdate + INTERVAL 1 YEAR) AS e, date_trunc('second', o_orderdate + INTERVAL 7 DAY) AS f FROM orders"),
     "fn_date_diff": ("SELECT l_orderkey, l_linenumber, DateDiff(o.o_orderdate, l.l_shipdate, 'day') AS days, DateDiff(o.o_orderdate, l.l_shipdate, 'month') AS months, DateDiff(o.o_orderdate, l.l_shipdate, 'weekday') AS working, DateDiff(o.o_orderdate, l.l_shipdate, 'minute') AS minutes FROM lineitem AS l INNER JOIN orders AS o ON o.o_orderkey = l.l_orderkey", "SELECT l_orderkey, l_linenumber, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 8.64e10 AS days, ((year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) - CASE WHEN day(l_shipdate) < day(o_orderdate) THEN 1 ELSE 0 END)::DOUBLE AS months, (SELECT count(*) FROM range(least(o_orderdate, l_shipdate)::DATE, greatest(o_orderdate, l_shipdate)::DATE + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6)::DOUBLE AS working, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 6e7 AS minutes FROM lineitem JOIN orders ON o_orderkey = l_orderkey"),
+    "fn_to_string": ("SELECT c_custkey, ToString(c_custkey * 2) AS a, ToString(c_nationkey / 4) AS b FROM customer", "SELECT c_custkey, (c_custkey * 2)::VARCHAR AS a, regexp_replace((c_nationkey / 4)::VARCHAR, '\\.0$', '') AS b FROM customer"),
+    "fn_date_units": ("SELECT o_orderkey, DateAdd(o_orderdate, 'dayofyear', 3) AS a, DateAdd(o_orderdate, 'minute', 90) AS b, DateAdd(o_orderdate, 'second', -5) AS c, DateAdd(o_orderdate, 'ms', 4500) AS d, DateAdd(o_orderdate, 'quarter', -1) AS e, DateDiff(o_orderdate, '2005-12-31', 'dayofyear') AS f, DateDiff(o_orderdate, '2005-12-31', 'year') AS g, DateDiff(o_orderdate, '2005-12-31', 'week') AS h, DateDiff(o_orderdate, '2005-12-31', 'hour') AS i, DateDiff(o_orderdate, '2005-12-31', 'second') AS j, DateDiff(o_orderdate, '2005-12-31', 'millisecond') AS k FROM orders", "SELECT o_orderkey, date_trunc('second', o_orderdate + INTERVAL 3 DAY)::TIMESTAMP AS a, date_trunc('second', o_orderdate + INTERVAL 90 MINUTE)::TIMESTAMP AS b, date_trunc('second', o_orderdate - INTERVAL 5 SECOND)::TIMESTAMP AS c, date_trunc('second', o_orderdate + INTERVAL 4500 MILLISECOND)::TIMESTAMP AS d, date_trunc('second', o_orderdate - INTERVAL 3 MONTH)::TIMESTAMP AS e, date_diff('day', o_orderdate::DATE, DATE '2005-12-31')::DOUBLE AS f, date_sub('year', o_orderdate::TIMESTAMP, TIMESTAMP '2005-12-31')::DOUBLE AS g, (epoch_us(TIMESTAMP '2005-12-31') - epoch_us(o_orderdate)) / 6.048e11 AS h, (epoch_us(TIMESTAMP '2005-12-31') - epoch_us(o_orderdate)) / 3.6e9 AS i, (epoch_us(TIMESTAMP '2005-12-31') - epoch_us(o_orderdate)) / 1e6 AS j, (epoch_us(TIMESTAMP '2005-12-31') - epoch_us(o_orderdate)) / 1e3 AS k FROM orders"),
     "fn_format_datetime": ("SELECT o_orderkey, FormatDateTime(o_orderdate, 'yyyy/MM/dd hh:mm:ss.fff tt') AS a, FormatDateTime(o_orderdate, 'yyyy-MM') AS b FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %I:%M:%S.%g %p') AS a, strftime(o_orderdate, '%Y-%m') AS b FROM orders"),
     "fn_format_numeric": ("SELECT c_custkey, FormatNumeric(c_nationkey * 1000 + 0.25, 'n1') AS a, FormatNumeric(c_nationkey, 'f3') AS b, FormatNumeric(c_custkey, 'n0') AS c FROM customer", "SELECT c_custkey, format('{:,.1f}', (c_nationkey * 1000 + 0.3)::DOUBLE) AS a, format('{:.3f}', c_nationkey::DOUBLE) AS b, format('{:,}', c_custkey) AS c FROM customer"),
     "fn_null_handling": ("SELECT o_orderkey, NullIf(o_orderstatus, IsEqual(o_orderstatus, 'F')) AS a, IfNull(NullIf(o_orderstatus, IsEqual(o_orderstatus, 'F')), 'none') AS b, Coalesce(null, o_orderpriority) AS c, NullIfNumeric(o_totalprice, IsGreater(o_totalprice, 1000)) AS d, IfNullNumeric(null, 20) + 10 AS e, IIF(IsLess(o_totalprice, 100000), 'small', 'large') AS f, NullIf('x', true) + 'y' AS g FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS a, CASE WHEN o_orderstatus = 'F' THEN 'none' ELSE o_orderstatus END AS b, o_orderpriority AS c, CASE WHEN NOT o_totalprice > 1000 THEN o_totalprice END AS d, 30::DOUBLE AS e, CASE WHEN o_totalprice < 100000 THEN 'small' ELSE 'large' END AS f, NULL::VARCHAR AS g FROM orders"),
@@ -141,14 +143,11 @@ BATCHES: dict[str, tuple[str, str | None]] = {
     "delete_join": ("DELETE o FROM customer AS c INNER JOIN orders AS o ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0 SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     "transaction_rollback": ("BEGIN TRANSACTION DELETE FROM region WHERE r_regionkey > 1 ROLLBACK TRANSACTION SELECT r_name FROM region", "SELECT r_name FROM region"),
     # maintenance
-    "analyze_schema": ("ANALYZE SCHEMA nation", None),
+    "analyze_schema": ("ANALYZE SCHEMA nation", "SELECT count(*) AS documents, ceil(count(*) / 100)::BIGINT AS pages, 100 AS page_size, min(n) AS min_length, max(n) AS max_length, avg(n) AS avg_length FROM (SELECT length(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR)::INTEGER AS n FROM nation)"),
     "analyze_index": ("CREATE INDEX ix_nation(c_nationkey) ON customer ANALYZE INDEX ix_nation ON customer", "SELECT count(*) AS keys, sum(n)::BIGINT AS rows, min(n) AS min_rows, max(n) AS max_rows, avg(n) AS avg_rows, 100 - avg(n) / sum(n) * 100 AS selectivity FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)"),
-    "list_documents": ("LIST DOCUMENTS region SIZE 3", None),
+    "list_documents": ("LIST DOCUMENTS region SIZE 5", "SELECT r_regionkey, r_name FROM region"),
     "list_schemas": ("LIST SCHEMAS :", "SELECT 'Single' AS \"Name\", 'Single' AS \"Path\""),
     "sample": ("SAMPLE customer SIZE 20", None),
-    "system_functions": ("EXEC ShowSystemFunctions()", None),
-    "scalar_functions": ("EXEC ShowScalarFunctions()", None),
-    "aggregate_functions": ("EXEC ShowAggregateFunctions()", None),
 }
 
 

@@ -4,12 +4,12 @@ from pathlib import Path
 
 import pytest
 
-from papyrion import dialect_queries, problem_queries
+from papyrion import dialect_queries, problem_queries, session_queries
 from tests.conftest import same_as_sql
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = dialect_queries.QUERIES | problem_queries.QUERIES
-SQL = dialect_queries.SQL | problem_queries.SQL
+QUERIES = dialect_queries.QUERIES | problem_queries.QUERIES | session_queries.QUERIES
+SQL = dialect_queries.SQL | problem_queries.SQL | session_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
