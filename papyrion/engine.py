@@ -393,7 +393,7 @@ class Engine:
 
     def _update(self, update: Update) -> QueryResult:
         update.target = self._real(update.target)
-        path, frame, hit = changes.updated(self.catalog, update, self.variables, self.document, settle)
+        path, frame, hit = changes.updated(self.catalog, update, self.variables, self.document)
         self._permit("write", path)
         affected = hit.count()
         self._store(path, frame, any(_is_volatile(v) for _, v in update.assignments))
@@ -401,7 +401,7 @@ class Engine:
 
     def _delete(self, delete: Delete) -> QueryResult:
         delete.target = self._real(delete.target)
-        path, frame, hit = changes.deleted(self.catalog, delete, self.variables, self.document, settle)
+        path, frame, hit = changes.deleted(self.catalog, delete, self.variables, self.document)
         self._permit("write", path)
         affected = hit.count()
         self._store(path, frame)

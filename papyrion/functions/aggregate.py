@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrion.dialect.lexer import DialectError
 from papyrion.functions.values import Value, number, text
@@ -34,8 +37,46 @@ def _mode(value: Value) -> Column:
     return F.mode(number(value), True)
 
 
+#: Aggregates that plans compute by `digests`, with the names Python has for them.
+DIGESTS = {"sha1agg": "sha1", "sha256agg": "sha256", "sha512agg": "sha512"}
+
+
+def digests(rows: DataFrame, keys: list[str], text_column: str, kind: str) -> DataFrame:
+    """(`keys`, `digest`): per group the digest of its texts in binary order, one after another.
+
+    Equal texts are counted first. Each group's texts are then sorted within one partition, which may spill, and
+    run through the digest, which holds a few bytes: no group is gathered in memory. That one task goes
+    through a group in order is in the nature of the digest. Null texts count for nothing.
+    """
+    counted = rows.where(F.col(text_column).isNotNull()).groupBy(*keys, F.col(text_column).alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = (counted.repartition(*keys) if keys else counted.coalesce(1)).sortWithinPartitions(*keys, "__text")
+    schema = T.StructType([*(counted.schema[k] for k in keys), T.StructField("digest", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state, held = None, None, None  # `held` is the group's keys, one row
+        for batch in batches:
+            own = [batch.column(i) for i in range(len(keys))]
+            groups = list(zip(*(["nan" if v != v else v for v in c.to_pylist()] for c in own))) if keys else [()] * batch.num_rows
+            ended, done = [], []
+            for i, (g, text_, n) in enumerate(zip(groups, batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                if g != group:
+                    if state is not None:
+                        ended.append(held)
+                        done.append(state.hexdigest())
+                    group, state, held = g, hashlib.new(kind), [c.slice(i, 1) for c in own]
+                data = text_.encode()
+                for _ in range(n):
+                    state.update(data)
+            if done:
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([h[k] for h in ended]) for k in range(len(keys))), pa.array(done, pa.string())], names=[f.name for f in schema])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([*held, pa.array([state.hexdigest()], pa.string())], names=[f.name for f in schema])
+
+    return placed.mapInArrow(run, schema)
+
+
 def _joined(value: Value) -> Column:
-    """The group's texts in binary order, one after another. The group's values are gathered, as the digest asks."""
+    """The group's texts in binary order, one after another, gathered; used for streams only, whose state holds the group anyway."""
     return F.array_join(F.array_sort(F.collect_list(text(value))), "")
 
 

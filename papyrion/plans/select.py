@@ -185,9 +185,14 @@ def _grouped(df: DataFrame, select: Select, fields: list, calls: dict, scope: Sc
         replaced[simplified(node)] = stands
         if isinstance(node, Field):
             resolved[str(value.column)] = stands
+    apart: list[tuple[str, str, Column]] = []  # digests, whose groups are not gathered
     for i, (key, call) in enumerate(calls.items()):
-        value = aggregate.build(call.name, [plain.value(a) for a in call.args])
-        aggregates.append(value.column.alias(f"a{i}"))
+        args = [plain.value(a) for a in call.args]
+        value = aggregate.build(call.name, args)
+        if call.name in aggregate.DIGESTS and not df.isStreaming:
+            apart.append((f"a{i}", aggregate.DIGESTS[call.name], text(args[0])))
+        else:
+            aggregates.append(value.column.alias(f"a{i}"))
         replaced[key] = Value(F.col(f"a{i}"), value.kind)
 
     def same_key(node: Field) -> Value | None:
@@ -216,6 +221,10 @@ def _grouped(df: DataFrame, select: Select, fields: list, calls: dict, scope: Sc
         out = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
     else:
         out = df.agg(*aggregates, F.count(F.lit(1)).alias("rows")).where("rows > 0")  # no input, no row
+    names = [f"k{i}" for i in range(len(keys))]
+    for name, kind, column in apart:
+        found = aggregate.digests(df.select(*keys, column.alias("__value")), names, "__value", kind).toDF(*(f"__{n}" for n in names), name)
+        out = out.join(found, [out[n].eqNullSafe(found[f"__{n}"]) for n in names] or F.lit(True), "left").drop(*(f"__{n}" for n in names))
     return out, Lowering(scope, replaced, in_list), Lowering(scope, replaced, in_order)
 
 

@@ -395,3 +395,36 @@ def test_pages_and_samples(spark):
     assert engine.fetch("ANALYZE SCHEMA T WITH (IncludePhysicalPages = false)")[0]["documents"] == 25
     assert len(engine.sample("T", 60).collect()) == 60 and engine.sample("T", 0).collect() == [] and engine.sample("Single", 5).count() == 5
     assert len({r[0] for r in engine.sample("T", 200).collect()}) == 25
+
+
+def test_digests_of_groups(spark):
+    import hashlib
+
+    data = [(1, "b"), (1, "a"), (1, "b"), (1, None), (2, None), (None, "é"), (None, ""), (3, "")]
+    engine = Engine(spark)
+    engine.register("T", spark.createDataFrame(data, "k int, v string"))
+    digest = lambda kind, text_: hashlib.new(kind, text_.encode()).hexdigest()
+    got = {r[0]: tuple(r[1:]) for r in engine.sql("SELECT k, Sha1Agg(v) AS a, Sha512Agg(v) AS b, Count(0) AS n FROM T GROUP BY k").collect()}
+    assert got == {1: (digest("sha1", "abb"), digest("sha512", "abb"), 4), 2: (None, None, 1), None: (digest("sha1", "é"), digest("sha512", "é"), 2), 3: (digest("sha1", ""), digest("sha512", ""), 1)}
+    assert engine.scalar("SELECT Sha256Agg(v) AS a FROM T") == digest("sha256", "abbé") and engine.sql("SELECT Sha256Agg(v) AS a FROM T WHERE k = 9").count() == 0
+    many = Engine(spark)
+    many.register("T", spark.range(30_000).selectExpr("id % 7000 AS k", "CASE WHEN id % 3 = 0 THEN 'same' ELSE CAST(id AS string) END AS v"))
+    rows = {}
+    for i in range(30_000):
+        rows.setdefault(i % 7000, []).append("same" if i % 3 == 0 else str(i))
+    assert dict(map(tuple, many.sql("SELECT k, Sha256Agg(v) AS a FROM T GROUP BY k").collect())) == {k: digest("sha256", "".join(sorted(v))) for k, v in rows.items()}
+
+
+def test_changes_by_join_with_repeated_and_null_rows(spark):
+    engine = Engine(spark)
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    engine.register("T", table([(1, "a"), (1, "a"), (1, "b"), (None, "n"), (None, None), (5, "z")], "k int, v string"))
+    engine.register("S", table([(1, 10), (1, 20), (None, 30), (7, 70)], "k int, w int"))
+    result = engine.execute("UPDATE t SET v = s.w FROM S AS s INNER JOIN T AS t ON t.k = s.k")[0]
+    assert result.affected == 5 and sorted(map(str, engine.catalog.frame("T").collect())) == sorted(map(str, table([(1, "20"), (1, "20"), (1, "20"), (None, "30"), (None, "30"), (5, "z")], "k int, v string").collect()))
+    assert engine.execute("DELETE t FROM S AS s OUTER JOIN T AS t ON t.k = s.k WHERE s.w = 70")[0].affected == 0
+    assert engine.execute("DELETE t FROM T AS t INNER JOIN S AS s ON s.w = 70 WHERE t.v = 'Z'")[0].affected == 1
+    assert engine.execute("UPDATE t SET v = 'all' FROM T AS t INNER JOIN S AS s ON s.w = 70")[0].affected == 5
+    assert engine.execute("UPDATE t SET v = 'none' FROM T AS t INNER JOIN S AS s ON s.w = 71")[0].affected == 0
+    assert engine.execute("DELETE t FROM T AS t INNER JOIN S AS s ON s.w = 30")[0].affected == 5
+    assert engine.catalog.frame("T").count() == 0
