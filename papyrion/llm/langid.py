@@ -1,6 +1,6 @@
 """Languages of documents and of stretches in them, by rank-order profiles of n-grams.
 
-A profile is a language's most frequent n-grams of two and three characters in order of frequency,
+A profile is a language's most frequent n-grams of one to three characters in order of frequency,
 learnt from a bounded sample of labelled documents. The distance of a piece of text is the sum, over
 its n-grams, of how far the n-gram's place in the piece is from its place in the profile; what the
 profile lacks has the place after its last. Distances are computed for all lines of an Arrow batch at once with
@@ -74,7 +74,7 @@ def _plain(text: str) -> str:
 
 
 def _coded(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, coded n-gram) of all n-grams of two and three characters, words padded by spaces."""
+    """(text number, coded n-gram) of all n-grams of one to three characters, words padded by spaces."""
     joined = "\n".join(f" {t} " for t in map(_plain, texts)) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = points == 10
@@ -96,7 +96,10 @@ def _coded(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out[wide] = spelt
         return out
 
-    return np.concatenate([number[two], number[three]]), np.concatenate([code(a[two], b[two]), code(a[three], b[three], c[three])])
+    one = b > 1
+    single = b[one]
+    single = np.where(single < _TOP, single, single << 2 * _POINT)  # no n-gram of more characters has these codes
+    return np.concatenate([number[one], number[two], number[three]]), np.concatenate([single, code(a[two], b[two]), code(a[three], b[three], c[three])])
 
 
 def _ranked(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +203,7 @@ def learn(documents: DataFrame, languages: list[str], sample: int = 4000, size:
 
 
 #: A line counts by itself from this many different n-grams on (about ten letters).
-LONG = 25
+LONG = 33
 #: A language a document has in few lines may claim a line that another one fits better by this share only.
 NEAR = 0.06
 
@@ -265,7 +268,7 @@ def stretches_of(texts: list[str | None], profiles: Profiles, in_a_row: int) ->
         cues = []
         for lines in spoken_cues(text) if text else []:
             if len(lines) > 1:  # all lines together, where each may be too short
-                lines = [*lines, " ".join(lines) if max(map(len, lines)) < 20 else lines[-1]]
+                lines = [*lines, " ".join(lines)]
             cues.append([numbers.setdefault(line, len(numbers)) for line in lines])
         documents.append(cues)
     if not profiles.languages:
