@@ -136,7 +136,8 @@ def changes(documents: DataFrame, carried: float = 0.5) -> DataFrame:
     Fields are renamed if more than `carried` of the non-null old values, in documents (`docpointer`)
     that both files have, stand under the new name; each field takes part in one rename at most, the
     one with most equal values. A file without a file before it, and rows without schemapath or
-    fileseq, show no changes. Repeated rows change nothing. Empty input gives no rows.
+    fileseq, show no changes. Repeated rows change nothing. Empty input gives no rows. What files and fields
+    are concerned is found by jobs run while the plan is built.
     """
     schemas = settle(file_schemas(documents.where("schemapath IS NOT NULL AND fileseq IS NOT NULL")))
     fields = schemas.where("field IS NOT NULL").select("schemapath", "fileseq", "field", "kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder checkpoints go to.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; any other session must name one, as a machine-local folder is not
+    gets a temporary folder, removed at its end; any other session must name one, as a machine-local folder is not
     readable by other executors.
     """
     context = spark.sparkContext
@@ -23,6 +25,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="papyrion-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder
 
