@@ -55,6 +55,7 @@ BATCHES: dict[str, tuple[str, str | None]] = {
     "select_expr_alias": ("SELECT p_partkey, p_retailprice * 2 - p_size AS doubled, p_brand AS 'the brand' FROM part", "SELECT p_partkey, p_retailprice * 2 - p_size AS doubled, p_brand AS \"the brand\" FROM part"),
     "select_unnamed": ("SELECT n_nationkey + 1, n_name, n_nationkey * 2 FROM nation", 'SELECT (n_nationkey + 1)::DOUBLE AS "Expression0", n_name, (n_nationkey * 2)::DOUBLE AS "Expression1" FROM nation'),
     "unknown_column_null": ("SELECT r_name, no_such_field FROM region", "SELECT r_name, NULL::VARCHAR AS no_such_field FROM region"),
+    # fixed values: constant expressions whose results are pinned
     "single_constants": ("SELECT 10 + 10 + 'Text' AS a, 'Text' + 10 + 10 AS b, 10 + 10 + (11 ^ 3) + 10 + '->' AS c, 11 ^ (2 + 1) + 'ten' + (Length('A10CharStr') * 10 + 2) AS d, value FROM Single", "SELECT '20Text' AS a, 'Text20' AS b, '2810->' AS c, '8ten102' AS d, NULL::VARCHAR AS value"),
     "declared_variable": ("DECLARE @least = 7000 SELECT c_custkey FROM customer WHERE c_acctbal > @least", "SELECT c_custkey FROM customer WHERE c_acctbal > 7000"),
     # predicates
