@@ -1,8 +1,8 @@
 """References to records that do not exist, found with compressed bitmaps.
 
 Every task folds its rows into the different (key, day) per reference field and key range and packs them
-to a few bytes each; only these sets are shuffled, never the rows. Ranges are cut at quantiles of the parents'
-keys, so that they hold equally many, however scattered. Where the sets of one range meet, keys are
+to a few bytes each; only these sets are shuffled, never the rows. Ranges are cut at quantiles of the
+keys on both sides, so that they hold equally many, however scattered. Where the sets of one range meet, keys are
 coded by a sorted dictionary; the codes of each (reference field, day) form a bitmap, from which the
 bitmap of the parents known before that day is taken away (AND NOT). What survives is decoded: keys that
 no parent has, and keys whose parent came that day or later. A blocked Bloom filter of the survivors, of
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from papyrion.operators import bitmaps
 from papyrion.stable import settle
 
-#: Keys of a parent to a range, on average, as long as there are no more than MOST_RANGES.
-RANGE, MOST_RANGES = 32_768, 1_024
+#: Rows (of a parent and its references) to a key range, on average, and the quantiles that ranges are cut at; beyond so many, the stretches between them are divided evenly.
+RANGE, QUANTILES = 131_072, 1_024
+#: Of every so many keys one is looked at to place the cuts, which steer balance only, no result.
+LOOKED_AT = 8
 #: Rows a task folds at once, which bounds its memory.
 FOLDED = 2_000_000
 #: Bits of the filter per survivor, and the most it may have (64 MB); beyond, more rows pass it and none is lost.
@@ -51,17 +53,22 @@ def _key(name: str) -> Column:
     return F.col(name).cast("bigint")
 
 
-def _bounds(parents: dict[str, tuple[DataFrame, str, str]]) -> dict[str, np.ndarray]:
-    """Per parent the keys at which its ranges are cut: at most MOST_RANGES numbers each reach the driver."""
-    grid = ", ".join(f"{i / MOST_RANGES!r}D" for i in range(1, MOST_RANGES))
+def _bounds(references: list[Reference], parents: dict[str, tuple[DataFrame, str, str]]) -> dict[str, np.ndarray]:
+    """Per parent the keys at which its ranges are cut: at most QUANTILES numbers each reach the driver."""
+    grid = ", ".join(f"{i / QUANTILES!r}D" for i in range(1, QUANTILES))
     keys = None
-    for name, (frame, key, _) in parents.items():
-        part = frame.where(F.col(key).isNotNull()).select(F.lit(name).alias("parent"), _key(key).alias("key"))
+    for name, frame, key in [(n, f, k) for n, (f, k, _) in parents.items()] + [(r.parent, r.frame, r.refkey) for r in references]:
+        part = frame.select(F.lit(name).alias("parent"), _key(key).alias("key")).where(F.col("key").isNotNull() & (F.xxhash64("key").bitwiseAND(F.lit(LOOKED_AT - 1)) == 0))
         keys = part if keys is None else keys.unionByName(part)
     out = {name: np.zeros(0, np.int64) for name in parents}
-    for row in keys.groupBy("parent").agg(F.count("key").alias("n"), F.expr(f"percentile_approx(key, array({grid}), {4 * MOST_RANGES})").alias("cuts")).collect():
-        cuts, ranges = np.array(row["cuts"], np.int64), min(MOST_RANGES, -(-row["n"] // RANGE))
-        out[row["parent"]] = np.unique(cuts[np.linspace(0, MOST_RANGES - 2, ranges + 1, dtype=int)[1:-1]])
+    for row in keys.groupBy("parent").agg(F.count("key").alias("n"), F.expr(f"percentile_approx(key, array({grid}), {4 * QUANTILES})").alias("cuts")).collect():
+        cuts, ranges = np.unique(np.array(row["cuts"], np.int64)), -(-row["n"] * LOOKED_AT // RANGE)
+        if ranges <= QUANTILES:
+            out[row["parent"]] = cuts[np.unique(np.linspace(0, len(cuts) - 1, ranges + 1, dtype=int)[1:-1])]
+        else:
+            parts = -(-ranges // QUANTILES)
+            between = [int(a) + (int(b) - int(a)) * i // parts for a, b in zip(cuts, cuts[1:]) for i in range(parts)]
+            out[row["parent"]] = np.unique(np.array([*between, cuts[-1]], np.int64))
     return out
 
 
@@ -164,7 +171,7 @@ def orphans(references: list[Reference], parents: dict[str, tuple[DataFrame, str
     give no rows, a missing parent table counts as empty. Building the plan runs the jobs that
     find the surviving keys; the rows are found lazily.
     """
-    cuts = _bounds(parents)
+    cuts = _bounds(references, parents)
     names = {name: i for i, name in enumerate(parents)}
     parts = [_packed(r.frame, r.refkey, r.created, names[r.parent], i, cuts[r.parent]) for i, r in enumerate(references)]
     parts += [_packed(frame, key, created, names[name], _PARENT, cuts[name]) for name, (frame, key, created) in parents.items()]

@@ -220,7 +220,7 @@ def unified(documents: DataFrame, carried: float = 0.5) -> DataFrame:
     renames = changes(documents, carried).where("changetype = 'renamed'").select("schemapath", "fileseq", "oldfield", "newfield")
     names = settle(renames.groupBy("schemapath").applyInPandas(_follow, _NAMES))
     found = cells(documents).where("kind IS NOT NULL").select("schemapath", "fileseq", "docpointer", "field", "kind", "value").distinct()
-    named = found.alias("c").join(names.alias("n"), F.expr("c.schemapath = n.schemapath AND c.field = n.field AND c.fileseq BETWEEN n.fromseq AND n.toseq"), "left")
+    named = found.alias("c").join(if_small(names).alias("n"), F.expr("c.schemapath = n.schemapath AND c.field = n.field AND c.fileseq BETWEEN n.fromseq AND n.toseq"), "left")
     number = F.expr("try_cast(c.value AS double)")
     canonical = F.when(F.col("c.kind").isin("whole", "fraction") & (number == F.expr("try_cast(c.value AS bigint)")), F.expr("cast(try_cast(c.value AS bigint) AS string)")).otherwise(F.trim("c.value"))
     return named.select(

@@ -37,6 +37,7 @@ def test_same_month_is_judged_by_time_and_missing_times_are_never_late(spark):
 
 def test_keys_at_the_ends_of_ranges(spark, monkeypatch):
     monkeypatch.setattr(orphans_module, "RANGE", 2)  # several ranges
+    monkeypatch.setattr(orphans_module, "LOOKED_AT", 1)
     keys = [0, 1, -1, 32767, 32768, 32769, -32768, -32769, 65536, 2**63 - 1, -(2**63)]
     got = run(spark, [ref(i, k, FEB) for i, k in enumerate(keys)], [(k, JAN, 0) for k in keys[::2]], [])
     assert sorted(r[3] for r in got) == sorted(keys[1::2]) and {r[4] for r in got} == {"missing"}
@@ -72,3 +73,14 @@ def test_packed_sets_and_containers():
     for n in (3, 900):  # as codes, and as a bitset
         codes, known = np.unique(random.integers(0, 1000, n)), np.unique(random.integers(0, 1000, 300))
         assert bitmaps.and_not(bitmaps.container(codes, 1000), bitmaps.bitset(known, 1000)).tolist() == [c for c in codes if c not in set(known)]
+
+
+def test_more_ranges_than_quantiles_and_keys_far_beyond_the_parents(spark, monkeypatch):
+    monkeypatch.setattr(orphans_module, "RANGE", 4)
+    monkeypatch.setattr(orphans_module, "QUANTILES", 8)
+    monkeypatch.setattr(orphans_module, "LOOKED_AT", 1)
+    refs = [ref(i, i if i % 2 else 10**15 + i, FEB) for i in range(400)]
+    got = run(spark, refs, [(i, JAN, 0) for i in range(400) if i % 3], [])
+    assert sorted((r[2], r[3]) for r in got) == sorted((r[0], r[1]) for r in refs if r[1] >= 400 or not r[1] % 3)
+    cuts = orphans_module._bounds([], {"p": (spark.range(1000).selectExpr("id", "timestamp_ntz'2024-01-01' AS created"), "id", "created")})["p"]
+    assert len(cuts) > 100 and (np.diff(cuts) > 0).all()
