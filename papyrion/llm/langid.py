@@ -27,6 +27,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BITS = 7
 _TOP, _COMPACT = 1 << _BITS, 1 << 3 * _BITS
 _POINT, _TEXT = 21, 40  # bits of a code point, and of an n-gram beside a text's number
+#: Texts whose n-grams are held at once.
+_AT_ONCE = 2_000
 
 
 def _ids_of(letters: dict[str, int]) -> np.ndarray:
@@ -127,8 +129,8 @@ def _ranked(number: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def distances(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
     """(mean out-of-place distance of each text to each language, number of its different n-grams)."""
     out, sizes = np.full((len(texts), len(profiles.languages)), float(profiles.size)), np.zeros(len(texts), np.int64)
-    for at in range(0, len(texts), 20_000):
-        number, grams = _coded(texts[at : at + 20_000], profiles.ids)
+    for at in range(0, len(texts), _AT_ONCE):
+        number, grams = _coded(texts[at : at + _AT_ONCE], profiles.ids)
         if not len(number):
             continue
         text, gram, place = _ranked(number, grams)
@@ -153,8 +155,9 @@ def fit(samples: dict[str, list[str]], size: int = 1500) -> Profiles:
     ids = _ids_of(letters)
     ordered = []
     for language in languages:
-        _, grams = _coded(samples[language], ids)
-        keys, counts = np.unique(grams, return_counts=True)
+        parts = [np.unique(_coded(samples[language][i : i + 20], ids)[1], return_counts=True) for i in range(0, len(samples[language]), 20)]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in parts] or [np.zeros(0)]), len(keys))
         ordered.append(keys[np.lexsort((keys, -counts))[:size]])
     return Profiles(languages, letters, ordered, size)
 
